@@ -54,13 +54,15 @@ def running_sum(
     blocks = (
         blocks.withColumn("_in_group", before("_total", [*keys, "_group"], "_block"))
         .join(groups, [*keys, "_group"])
-        .select(*keys, "_block", (F.col("_group_start") + F.col("_in_group")).alias("_start"))
+        .select(
+            *keys, "_block", (F.col("_group_start") + F.col("_in_group")).alias("_block_start")
+        )
     )
     return (
         blocked.withColumn("_in_block", before("_value", [*keys, "_block"], order))
         .join(blocks, [*keys, "_block"])
-        .withColumn(out, F.col("_start") + F.col("_in_block"))
-        .drop("_value", "_block", "_in_block", "_start")
+        .withColumn(out, F.col("_block_start") + F.col("_in_block"))
+        .drop("_value", "_block", "_in_block", "_block_start")
     )
 
 

@@ -15,7 +15,7 @@ def spark():
 
     spark = build_session(
         "tests",
-        master="local[4]",
+        master="local[8]",
         conf={
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
