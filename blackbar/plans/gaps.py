@@ -25,10 +25,12 @@ def _waits(
 
 def bucket_times(times: DataFrame, keys: list[str], ts: str, gap_us: int) -> DataFrame:
     """One row per key and bucket: first and last time (microseconds) and row count."""
-    us = F.unix_micros(ts)
+    width = F.lit(gap_us).cast("bigint")
+    bucket = F.call_function("div", F.col("_us") - F.pmod("_us", width), width)
     return (
-        times.select(*keys, us.alias("_us"))
-        .groupBy(*keys, F.call_function("div", F.col("_us"), F.lit(gap_us)).alias("_bucket"))
+        times.where(F.col(ts).isNotNull())
+        .select(*keys, F.unix_micros(ts).alias("_us"))
+        .groupBy(*keys, bucket.alias("_bucket"))
         .agg(
             F.min("_us").alias("_first"),
             F.max("_us").alias("_last"),
@@ -54,6 +56,25 @@ def first_wait(times: DataFrame, keys: list[str], ts: str, gap_us: int) -> DataF
     )
 
 
+def sessions(times: DataFrame, keys: list[str], ts: str, gap_us: int) -> DataFrame:
+    """Runs of rows no wait in which is longer than the gap: ``first_ts, last_ts, rows``.
+
+    Sessions are merged from the per-bucket rows, each as long as its own rows and the gap.
+    """
+    reach = F.concat((F.col("_last") - F.col("_first") + gap_us).cast("string"), F.lit(" microseconds"))
+    return (
+        bucket_times(times, keys, ts, gap_us)
+        .withColumn("_ts", F.timestamp_micros("_first"))
+        .groupBy(*keys, F.session_window("_ts", reach).alias("_session"))
+        .agg(
+            F.timestamp_micros(F.min("_first")).alias("first_ts"),
+            F.timestamp_micros(F.max("_last")).alias("last_ts"),
+            F.sum("_rows").alias("rows"),
+        )
+        .drop("_session")
+    )
+
+
 def interval_micros(text: str) -> int:
     """Microseconds of a day-time interval such as '15 seconds' or '1 hour'."""
     number, unit = text.split()

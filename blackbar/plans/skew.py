@@ -25,3 +25,22 @@ def salted_join(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+# Membership lists up to this many values become literals; longer ones stay tables.
+LITERAL_VALUES = 1000
+
+
+def flag_members(
+    rows: DataFrame, column: str, members: DataFrame, out: str, spread: str
+) -> DataFrame:
+    """Add ``out``: whether ``column`` is one of the values of the one-column ``members``."""
+    name = members.columns[0]
+    values = members.where(F.col(name).isNotNull()).select(name).distinct()
+    few = [r[0] for r in values.limit(LITERAL_VALUES + 1).collect()]
+    if len(few) <= LITERAL_VALUES:
+        return rows.withColumn(out, F.coalesce(F.col(column).isin(few), F.lit(False)))
+    facts = values.select(F.col(name).alias(column), F.lit(True).alias(out))
+    return salted_join(rows, facts, [column], spread).withColumn(
+        out, F.coalesce(out, F.lit(False))
+    )
