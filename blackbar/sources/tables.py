@@ -50,7 +50,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     a split per 128 MB and is left as it is.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) > _SMALL_INPUT_BYTES:
+    if int(size) > _SMALL_INPUT_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
