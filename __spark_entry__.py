@@ -55,7 +55,7 @@ _LOG = f"""
          ELSE '/v1/chat/completions' END AS path,
     CASE WHEN user_id % 4 = 0 THEN 'https://app.example'
          WHEN user_id % 4 = 1 THEN 'https://other.example' END AS origin,
-    CASE WHEN {_K} % 7 = 1 THEN 'bearer key' WHEN {_K} % 7 > 1 THEN 'Bearer key' END AS authorization,
+    CASE WHEN {_K} % 7 = 1 THEN 'bearer key' WHEN {_K} % 7 > 1 THEN 'Bearer key' END AS credentials,
     CASE WHEN {_K} % 5 = 0 THEN CAST({_K} * 50000 AS STRING) WHEN {_K} % 5 = 1 THEN '+99999999'
          WHEN {_K} % 5 = 2 THEN 'abc' END AS content_length,
     {_K} * 30000 AS body_bytes,
@@ -78,8 +78,8 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 def request_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = events(spark, sf).selectExpr("ts", *_split_columns(_LOG))
     return rows.withColumn(
-        "authorization_sha256", RQ.bearer_digest(F.col("authorization"))
-    ).drop("authorization")
+        "authorization_sha256", RQ.bearer_digest(F.col("credentials"))
+    ).drop("credentials")
 
 
 def _split_columns(select_list: str) -> list[str]:
@@ -507,7 +507,7 @@ def q_event_rate(spark, sf):
 def q_active_streams(spark, sf):
     rows = events(spark, sf).select(
         F.col("ts").alias("started"),
-        F.timestamp_micros(F.col("us") + F.expr(_K) * 60_000_000).alias("ended"),
+        F.timestamp_micros(F.col("us") + F.expr(_K).cast("bigint") * 60_000_000).alias("ended"),
     )
     out = RQ.active_streams(rows, "1 hour", 12)
     return out.select(

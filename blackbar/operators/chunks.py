@@ -25,7 +25,7 @@ from blackbar.functions.patterns import (
 )
 from blackbar.functions.utf8 import truncated_tail, utf8_state, well_formed, without_tail
 from blackbar.plans.ordered import ordered_scan, recut
-from blackbar.plans.skew import salted_join
+from blackbar.session import cut_lineage
 
 Vault = DataFrame | Dictionary
 
@@ -80,11 +80,15 @@ def classify_utf8(df: DataFrame, bin_col: str) -> DataFrame:
     )
 
 
-def _joint_check(rows: DataFrame, chunk: str) -> DataFrame:
-    """Add what of a chunk decides whether it is well-formed after any given bytes.
+_SCANNED = "struct<lead:binary,only:boolean,tail:binary,ok:boolean,ended:boolean>"
 
-    A leading run of continuation bytes belongs to the previous character; the rest
-    starts a character of its own and can be judged without context.
+
+def _described(rows: DataFrame, chunk: str, size: int) -> DataFrame:
+    """Add ``_seen``: all that later chunks and checks need to know of a chunk.
+
+    A leading run of continuation bytes (``lead``; ``only``: nothing else) belongs to the
+    previous character. The rest starts a character of its own and is judged without
+    context (``ok``). ``tail`` holds the last bytes.
     """
     lead = F.regexp_extract(F.hex(F.substring(chunk, 1, 4)), "^(?:[89AB].)*", 0)
     rest_ok = well_formed(F.col("_rest")) | well_formed(
@@ -92,27 +96,62 @@ def _joint_check(rows: DataFrame, chunk: str) -> DataFrame:
     )
     return (
         rows.withColumn("_lead", F.unhex(lead))
-        .withColumn("_lead_only", F.octet_length(chunk) == F.octet_length("_lead"))
         .withColumn("_rest", F.col(chunk).substr(F.octet_length("_lead") + 1, F.octet_length(chunk)))
         .withColumn("_rest_tail", truncated_tail(F.col("_rest")))
-        .withColumn("_rest_ok", rest_ok)
-        .drop("_rest", "_rest_tail")
+        .withColumn(
+            "_seen",
+            F.struct(
+                F.col("_lead").alias("lead"),
+                (F.octet_length(chunk) == F.octet_length("_lead")).alias("only"),
+                F.substring(chunk, -size, size).alias("tail"),
+                rest_ok.alias("ok"),
+                F.col("_eof").alias("ended"),
+            ),
+        )
+        .drop("_lead", "_rest", "_rest_tail")
     )
 
 
-def _breaks_utf8(rows: DataFrame) -> DataFrame:
-    """Add ``_bad``: whether the chunk described by ``_joint_check`` is invalid after its context."""
-    context = F.col("context")
-    seam_ok = well_formed(F.col("_seam")) | (
-        F.col("_lead_only")
-        & (F.col("_seam_tail") > 0)
-        & well_formed(without_tail(F.col("_seam"), F.col("_seam_tail")))
+def _seam_ok(tail: Column, lead: Column, only: Column) -> Column:
+    """Whether bytes ending in ``tail`` may be followed by a chunk with that lead."""
+    cut = truncated_tail(tail)
+
+    def check(seam):
+        left = truncated_tail(seam)
+        return well_formed(seam) | (only & (left > 0) & well_formed(without_tail(seam, left)))
+
+    seam = F.concat(_suffix(tail, cut), lead)
+    return F.when((F.octet_length(lead) == 0) & (cut == 0), F.lit(True)).otherwise(
+        F.get(F.transform(F.array(seam), check), 0)
     )
-    return (
-        rows.withColumn("_seam", F.concat(_suffix(context, truncated_tail(context)), "_lead"))
-        .withColumn("_seam_tail", truncated_tail(F.col("_seam")))
-        .withColumn("_bad", ~(seam_ok & F.col("_rest_ok")))
-        .drop("_seam", "_seam_tail", "_lead", "_lead_only", "_rest_ok")
+
+
+def _joined(size: int):
+    """Description of two neighbouring stretches of a stream taken as one."""
+
+    def combine(a, b):
+        return F.struct(
+            F.when(a["only"], F.substring(F.concat(a["lead"], b["lead"]), 1, 4))
+            .otherwise(a["lead"])
+            .alias("lead"),
+            (a["only"] & b["only"]).alias("only"),
+            F.substring(F.concat(a["tail"], b["tail"]), -size, size).alias("tail"),
+            (
+                a["ok"] & b["ok"] & (a["only"] | _seam_ok(a["tail"], b["lead"], b["only"]))
+            ).alias("ok"),
+            (a["ended"] | b["ended"]).alias("ended"),
+        )
+
+    return combine
+
+
+def _nothing_seen() -> Column:
+    return F.struct(
+        F.expr(EMPTY).alias("lead"),
+        F.lit(True).alias("only"),
+        F.expr(EMPTY).alias("tail"),
+        F.lit(True).alias("ok"),
+        F.lit(False).alias("ended"),
     )
 
 
@@ -145,37 +184,10 @@ def safe_boundary(df: DataFrame, col: str, vault: Vault) -> DataFrame:
 # -- redaction of chunked streams --------------------------------------------------
 
 
-def _last_bytes(size: int):
-    return lambda a, b: F.substring(F.concat(a, b), -size, size)
-
-
 def _suffix(binary: Column, length: Column) -> Column:
     return binary.substr(F.octet_length(binary) - length + 1, length)
 
 
-def chunk_context(
-    chunks: DataFrame, key: str, seq: str, chunk: str, size: int, carry: list[str]
-) -> DataFrame:
-    """``key, seq, carry..., context``: the last ``size`` bytes of the stream before a chunk."""
-    narrow = chunks.select(
-        key,
-        seq,
-        F.substring(chunk, -size, size).alias("_tail"),
-        *carry,
-    )
-    return ordered_scan(
-        narrow,
-        [key],
-        seq,
-        F.col("_tail"),
-        "binary",
-        F.expr(EMPTY),
-        _last_bytes(size),
-        "context",
-        carry=carry,
-    )
-
-
 def _plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, eof: str | None) -> DataFrame:
     return chunks.select(
         key,
@@ -188,34 +200,39 @@ def _plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, eof: str |
 def chunk_status(
     chunks: DataFrame, size: int, key: str, seq: str, chunk: str, eof: str | None
 ) -> DataFrame:
-    """Per chunk up to the end of its stream: context, and whether the stream ends with it.
+    """Per chunk up to the end of its stream: ``key, seq, context, status``.
 
-    ``status`` is open, completed, rejected_at_end (a cut-off character at the end) or
-    invalid_utf8; chunks after a failing one are left out.
+    ``context`` holds the last ``size`` bytes before the chunk. ``status`` says whether the
+    stream ends with the chunk: open, completed, rejected_at_end (a cut-off character at
+    the end) or invalid_utf8; chunks after a failing one are left out.
     """
-    described = _joint_check(_plain_chunks(chunks, key, seq, chunk, eof), chunk).withColumn(
-        "_chunk_tail", F.substring(chunk, -3, 3)
-    )
-    carry = ["_eof", "_chunk_tail", "_lead", "_lead_only", "_rest_ok"]
-    scanned = _breaks_utf8(chunk_context(described, key, seq, chunk, max(size, 3), carry))
-    ends = F.max(seq) if eof is None else F.max(F.when(F.col("_eof"), F.col(seq)))
-    facts = scanned.groupBy(key).agg(
-        F.min(F.when(F.col("_bad"), F.col(seq))).alias("_first_bad"), ends.alias("_end")
+    size = max(size, 3)
+    described = _described(_plain_chunks(chunks, key, seq, chunk, eof), chunk, size)
+    scanned = ordered_scan(
+        described.select(key, seq, "_seen"),
+        [key],
+        seq,
+        F.col("_seen"),
+        _SCANNED,
+        _nothing_seen(),
+        _joined(size),
+        "_before",
+        carry=["_seen"],
+        last="_last",
     )
-    tail = truncated_tail(F.substring(F.concat("context", "_chunk_tail"), -3, 3))
+    before, seen = F.col("_before"), F.col("_seen")
+    # A stream that begins with continuation bytes has no character to put them in.
+    fine_so_far = before["ok"] & (F.octet_length(before["lead"]) == 0)
+    fits = seen["ok"] & _seam_ok(before["tail"], seen["lead"], seen["only"])
+    tail = truncated_tail(F.concat(before["tail"], seen["tail"]))
     status = (
-        F.when(F.col("_bad"), "invalid_utf8")
-        .when(F.col(seq) != F.coalesce("_end", F.lit(-1)), "open")
+        F.when(~fits, "invalid_utf8")
+        .when(~(seen["ended"] if eof else F.col("_last")), "open")
         .when(tail > 0, "rejected_at_end")
         .otherwise("completed")
     )
-    within = F.col(seq) <= F.least(
-        F.coalesce("_first_bad", F.lit(2**63 - 1)), F.coalesce("_end", F.lit(2**63 - 1))
-    )
-    return (
-        salted_join(scanned, facts, [key], seq)
-        .where(within)
-        .select(key, seq, "context", status.alias("status"))
+    return scanned.where(fine_so_far & ~before["ended"]).select(
+        key, seq, before["tail"].alias("context"), status.alias("status")
     )
 
 
@@ -239,6 +256,8 @@ def redact_chunked(
     d = as_dictionary(vault)
     size = max(d.live_bytes - 1, 3)
     status = chunk_status(chunks, size, key, seq, chunk, eof)
+    if d.chains:
+        status = cut_lineage(status)
     rows = _plain_chunks(chunks, key, seq, chunk, eof).drop("_eof").join(status, [key, seq])
     context = F.col("context")
     pending = (
@@ -291,7 +310,7 @@ def _pending_states(
         return F.when(possible, reached).otherwise(F.lit(0))
 
     lengths = F.sequence(F.lit(0), F.lit(d.live_bytes - 1))
-    table = rows.select(key, seq, F.transform(lengths, after).alias("_table"))
+    table = cut_lineage(rows.select(key, seq, F.transform(lengths, after).alias("_table")))
     scanned = ordered_scan(
         table,
         [key],
@@ -362,7 +381,7 @@ def hold_limit(
 
     # Beyond ``size`` nothing is ever held, so the table covers every state.
     lengths = F.sequence(F.lit(0), F.lit(size))
-    table = measured.select(key, seq, F.transform(lengths, after).alias("_table"))
+    table = cut_lineage(measured.select(key, seq, F.transform(lengths, after).alias("_table")))
     before = ordered_scan(
         table,
         [key],

@@ -76,19 +76,23 @@ def ordered_scan(
     combine: Callable[[Column, Column], Column],
     out: str,
     carry: list[str] | None = None,
-    bits: tuple[int, ...] = (10, 10, 10),
+    last: str | None = None,
+    bits: tuple[int, ...] = (10, 12),
 ) -> DataFrame:
     """Exclusive prefix combination of ``value`` along ``order`` for any associative ``combine``.
 
     Returns ``keys, order, carry..., out`` where ``out`` combines the values of all
-    earlier rows of the key (``identity`` for the first). ``value`` should be narrow:
-    blocks of 2**bits rows are sorted in memory. Used with "last n bytes" and with small
-    transition functions, for which no window function exists.
+    earlier rows of the key (``identity`` for the first), and with ``last`` a column that
+    says whether the row is the last of its key. ``value`` should be narrow: blocks of
+    2**bits rows are sorted in memory. Used with "last n bytes" and with small transition
+    functions, for which no window function exists.
     """
     carry = carry or []
-    running_type = f"array<struct<o:bigint,c:struct<{_struct_ddl(rows, carry)}>,p:{type_ddl}>>"
+    plain = F.struct(F.lit(True).alias("_"))
+    carried = F.struct(*carry) if carry else plain
+    carried_type = f"struct<{_struct_ddl(rows, carry)}>"
 
-    def scan(level: DataFrame, remaining: tuple[int, ...]) -> DataFrame:
+    def scan(level: DataFrame, c_type: str, remaining: tuple[int, ...]) -> DataFrame:
         # level: keys, o (bigint), c (carried columns), v (value)
         packed = F.array_sort(F.collect_list(F.struct("o", "v", "c")))
         if remaining:
@@ -99,53 +103,50 @@ def ordered_scan(
                 *keys,
                 F.col("g").alias("o"),
                 F.aggregate("steps", identity, lambda a, s: combine(a, s["v"])).alias("v"),
-                _no_columns().alias("c"),
+                plain.alias("c"),
             )
-            starts = scan(totals, remaining[1:]).select(
-                *keys, F.col("o").alias("g"), F.col("p").alias("start")
+            starts = scan(totals, "struct<_:boolean>", remaining[1:]).select(
+                *keys,
+                F.col("o").alias("g"),
+                F.col("p").alias("start"),
+                F.col("l").alias("last_group"),
             )
             grouped = grouped.join(starts, [*keys, "g"])
         else:
-            grouped = level.groupBy(*keys).agg(packed.alias("steps")).withColumn(
-                "start", identity
+            grouped = (
+                level.groupBy(*keys)
+                .agg(packed.alias("steps"))
+                .withColumn("start", identity)
+                .withColumn("last_group", F.lit(True))
             )
-        element = running_type if level is base else (
-            f"array<struct<o:bigint,c:struct<_:boolean>,p:{type_ddl}>>"
-        )
-        zero = F.struct(
-            F.col("start").alias("at"), F.array().cast(element).alias("done")
-        )
+        done_type = f"array<struct<o:bigint,c:{c_type},p:{type_ddl},l:boolean>>"
+        zero = F.struct(F.col("start").alias("at"), F.array().cast(done_type).alias("done"))
 
         def step(acc, s):
+            is_last = F.col("last_group") & (F.size(acc["done"]) + 1 == F.size("steps"))
+            row = F.struct(
+                s["o"].alias("o"), s["c"].alias("c"), acc["at"].alias("p"), is_last.alias("l")
+            )
             return F.struct(
                 combine(acc["at"], s["v"]).alias("at"),
-                F.concat(
-                    acc["done"],
-                    F.array(F.struct(s["o"].alias("o"), s["c"].alias("c"), acc["at"].alias("p"))),
-                ).alias("done"),
+                F.concat(acc["done"], F.array(row)).alias("done"),
             )
 
         done = F.aggregate("steps", zero, step, lambda acc: acc["done"])
         return grouped.select(*keys, F.inline(done))
 
     base = rows.select(
-        *keys,
-        F.col(order).cast("bigint").alias("o"),
-        value.alias("v"),
-        (F.struct(*carry) if carry else _no_columns()).alias("c"),
+        *keys, F.col(order).cast("bigint").alias("o"), value.alias("v"), carried.alias("c")
     )
-    return scan(base, bits).select(
+    return scan(base, carried_type, bits).select(
         *keys,
         F.col("o").alias(order),
         *[F.col(f"c.{name}").alias(name) for name in carry],
         F.col("p").alias(out),
+        *([F.col("l").alias(last)] if last else []),
     )
 
 
-def _no_columns() -> Column:
-    return F.struct(F.lit(True).alias("_"))
-
-
 def _struct_ddl(rows: DataFrame, columns: list[str]) -> str:
     if not columns:
         return "_:boolean"

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import posixpath
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,3 +37,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
     return posixpath.join(base, name)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate table once to the shared checkpoint folder.
+
+    Used where a plan would otherwise compute it several times. A private folder serves
+    only sessions that name none (local runs).
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="blackbar-"))
+    return df.checkpoint()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blackbar.operators.requests import event_rate
 
@@ -16,4 +17,5 @@ def event_rate_stream(
     late: str = "1 minute",
 ) -> DataFrame:
     """``event_rate`` of a streaming table; windows close ``late`` after their end."""
-    return event_rate(events.withWatermark(ts, late), ts, window, slide, by)
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return event_rate(timed, ts, window, slide, by)

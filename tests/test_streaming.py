@@ -131,6 +131,6 @@ def test_rate_stream(spark, tmp_path):
     from blackbar.operators.requests import event_rate
 
     got = spark.read.parquet(str(tmp_path / "out"))
-    batch = event_rate(events, "ts", "1 hour", "15 minutes", ["event_type"])
+    batch = event_rate(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "15 minutes", ["event_type"])
     assert got.count() > 100
     assert got.exceptAll(batch).count() == 0
