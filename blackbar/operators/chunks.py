@@ -23,7 +23,13 @@ from blackbar.functions.patterns import (
     quote_replacement,
     text_bytes,
 )
-from blackbar.functions.utf8 import truncated_tail, utf8_state, well_formed, without_tail
+from blackbar.functions.utf8 import (
+    TRUNCATED,
+    truncated_tail,
+    utf8_state,
+    well_formed,
+    without_tail,
+)
 from blackbar.plans.ordered import ordered_scan, recut
 from blackbar.session import cut_lineage
 
@@ -80,7 +86,10 @@ def classify_utf8(df: DataFrame, bin_col: str) -> DataFrame:
     )
 
 
-_SCANNED = "struct<lead:binary,only:boolean,tail:binary,ok:boolean,ended:boolean>"
+_SCANNED = (
+    "struct<lead:binary,only:boolean,pend:binary,tail:binary,ok:boolean,ended:boolean>"
+)
+_PARTIAL = f"^(?:{TRUNCATED})$"
 
 
 def _described(rows: DataFrame, chunk: str, size: int) -> DataFrame:
@@ -88,41 +97,46 @@ def _described(rows: DataFrame, chunk: str, size: int) -> DataFrame:
 
     A leading run of continuation bytes (``lead``; ``only``: nothing else) belongs to the
     previous character. The rest starts a character of its own and is judged without
-    context (``ok``). ``tail`` holds the last bytes.
+    context (``ok``); it may end in a cut-off character (``pend``). ``tail`` holds the
+    last bytes.
     """
     lead = F.regexp_extract(F.hex(F.substring(chunk, 1, 4)), "^(?:[89AB].)*", 0)
-    rest_ok = well_formed(F.col("_rest")) | well_formed(
-        without_tail(F.col("_rest"), F.col("_rest_tail"))
+    cut = F.octet_length("_pend")
+    rest_ok = well_formed(F.col("_rest")) | (
+        (cut > 0) & well_formed(without_tail(F.col("_rest"), cut))
     )
     return (
         rows.withColumn("_lead", F.unhex(lead))
         .withColumn("_rest", F.col(chunk).substr(F.octet_length("_lead") + 1, F.octet_length(chunk)))
-        .withColumn("_rest_tail", truncated_tail(F.col("_rest")))
+        .withColumn("_pend", _suffix(F.col("_rest"), truncated_tail(F.col("_rest"))))
         .withColumn(
             "_seen",
             F.struct(
                 F.col("_lead").alias("lead"),
                 (F.octet_length(chunk) == F.octet_length("_lead")).alias("only"),
+                F.col("_pend").alias("pend"),
                 F.substring(chunk, -size, size).alias("tail"),
                 rest_ok.alias("ok"),
                 F.col("_eof").alias("ended"),
             ),
         )
-        .drop("_lead", "_rest", "_rest_tail")
+        .drop("_lead", "_rest", "_pend")
     )
 
 
-def _seam_ok(tail: Column, lead: Column, only: Column) -> Column:
-    """Whether bytes ending in ``tail`` may be followed by a chunk with that lead."""
-    cut = truncated_tail(tail)
+def _seam_ok(before: Column, seen: Column) -> Column:
+    """Whether the character cut off before may go on with the lead of the next chunk."""
+    seam = F.concat(before["pend"], seen["lead"])
+    return well_formed(seam) | (seen["only"] & F.rlike(F.hex(seam), F.lit(_PARTIAL)))
 
-    def check(seam):
-        left = truncated_tail(seam)
-        return well_formed(seam) | (only & (left > 0) & well_formed(without_tail(seam, left)))
 
-    seam = F.concat(_suffix(tail, cut), lead)
-    return F.when((F.octet_length(lead) == 0) & (cut == 0), F.lit(True)).otherwise(
-        F.get(F.transform(F.array(seam), check), 0)
+def _pending_character(before: Column, seen: Column) -> Column:
+    """Bytes of a character still cut off after the next chunk."""
+    seam = F.concat(before["pend"], seen["lead"])
+    return (
+        F.when(~seen["only"], seen["pend"])
+        .when(well_formed(seam), F.expr(EMPTY))
+        .otherwise(seam)
     )
 
 
@@ -135,10 +149,11 @@ def _joined(size: int):
             .otherwise(a["lead"])
             .alias("lead"),
             (a["only"] & b["only"]).alias("only"),
+            F.when(a["only"] & b["only"], F.expr(EMPTY))
+            .otherwise(_pending_character(a, b))
+            .alias("pend"),
             F.substring(F.concat(a["tail"], b["tail"]), -size, size).alias("tail"),
-            (
-                a["ok"] & b["ok"] & (a["only"] | _seam_ok(a["tail"], b["lead"], b["only"]))
-            ).alias("ok"),
+            (a["ok"] & b["ok"] & (a["only"] | _seam_ok(a, b))).alias("ok"),
             (a["ended"] | b["ended"]).alias("ended"),
         )
 
@@ -149,6 +164,7 @@ def _nothing_seen() -> Column:
     return F.struct(
         F.expr(EMPTY).alias("lead"),
         F.lit(True).alias("only"),
+        F.expr(EMPTY).alias("pend"),
         F.expr(EMPTY).alias("tail"),
         F.lit(True).alias("ok"),
         F.lit(False).alias("ended"),
@@ -200,11 +216,12 @@ def _plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, eof: str |
 def chunk_status(
     chunks: DataFrame, size: int, key: str, seq: str, chunk: str, eof: str | None
 ) -> DataFrame:
-    """Per chunk up to the end of its stream: ``key, seq, context, status``.
+    """Per chunk up to the end of its stream: ``key, seq, context, cut, cut_after, status``.
 
-    ``context`` holds the last ``size`` bytes before the chunk. ``status`` says whether the
-    stream ends with the chunk: open, completed, rejected_at_end (a cut-off character at
-    the end) or invalid_utf8; chunks after a failing one are left out.
+    ``context`` holds the last ``size`` bytes before the chunk; ``cut`` and ``cut_after``
+    count the bytes of a cut-off character before and after it. ``status`` says whether
+    the stream ends with the chunk: open, completed, rejected_at_end (a cut-off character
+    at the end) or invalid_utf8; chunks after a failing one are left out.
     """
     size = max(size, 3)
     described = _described(_plain_chunks(chunks, key, seq, chunk, eof), chunk, size)
@@ -223,16 +240,21 @@ def chunk_status(
     before, seen = F.col("_before"), F.col("_seen")
     # A stream that begins with continuation bytes has no character to put them in.
     fine_so_far = before["ok"] & (F.octet_length(before["lead"]) == 0)
-    fits = seen["ok"] & _seam_ok(before["tail"], seen["lead"], seen["only"])
-    tail = truncated_tail(F.concat(before["tail"], seen["tail"]))
+    fits = seen["ok"] & _seam_ok(before, seen)
+    cut_after = F.octet_length(_pending_character(before, seen))
     status = (
         F.when(~fits, "invalid_utf8")
         .when(~(seen["ended"] if eof else F.col("_last")), "open")
-        .when(tail > 0, "rejected_at_end")
+        .when(cut_after > 0, "rejected_at_end")
         .otherwise("completed")
     )
     return scanned.where(fine_so_far & ~before["ended"]).select(
-        key, seq, before["tail"].alias("context"), status.alias("status")
+        key,
+        seq,
+        before["tail"].alias("context"),
+        F.octet_length(before["pend"]).alias("cut"),
+        cut_after.alias("cut_after"),
+        status.alias("status"),
     )
 
 
@@ -269,12 +291,12 @@ def redact_chunked(
         states = _pending_states(rows, d, size, key, seq, chunk)
         rows = rows.join(states, [key, seq])
 
-    held_before = F.greatest(pending, truncated_tail(context))
+    held_before = F.greatest(pending, F.col("cut"))
     source = F.concat(_suffix(context, held_before), F.col(chunk))
     rows = rows.withColumn("_source", source)
     text = bytes_text(F.col("_source"))
     held = F.when(F.col("status") == "completed", 0).otherwise(
-        F.greatest(_pending_after(text, d), truncated_tail(F.col("_source")))
+        F.greatest(_pending_after(text, d), F.col("cut_after"))
     )
     sent = text.substr(F.lit(1), F.length(text) - held)
     if d.byte_regex is not None:
@@ -356,11 +378,11 @@ def hold_limit(
     longest = d.max_bytes
     size = longest + 3
     status = chunk_status(chunks, size, key, seq, chunk, None)
-    live = status.where("status <> 'invalid_utf8'").select(key, seq, "context")
+    live = status.where("status <> 'invalid_utf8'").select(key, seq, "context", "cut_after")
     rows = _plain_chunks(chunks, key, seq, chunk, None).drop("_eof").join(live, [key, seq])
 
     joined = F.concat(F.col("context"), F.substring(chunk, -size, size))
-    tail = truncated_tail(joined)
+    tail = F.col("cut_after")
     whole = bytes_text(without_tail(joined, tail))
     partial = pending_length(whole, d.any_byte_suffix_regex, longest)
     n = F.octet_length(chunk)
