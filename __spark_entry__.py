@@ -22,6 +22,8 @@ from blackbar.operators import streams as ST
 from blackbar.operators import text as TX
 from blackbar.operators import vault as VT
 from blackbar.plans import wide_dictionary
+from blackbar.plans.ordered import recut
+from blackbar.session import cut_lineage
 from blackbar.sources import tables
 from blackbar.streaming import redact as SR
 
@@ -340,7 +342,8 @@ def q_safe_boundary(spark, sf):
 
 
 def _pieces(rows: DataFrame) -> DataFrame:
-    return C.redacted_pieces(rows, 4096).select(
+    # The redacted stream is a table of its own before it is cut anew.
+    return C.redacted_pieces(cut_lineage(rows), 4096).select(
         "stream_id",
         "piece_no",
         F.octet_length("redacted").alias("bytes"),
@@ -377,7 +380,7 @@ def q_slice_segments(spark, sf):
 
 def q_stream_receipts(spark, sf):
     rows = C.redact_chunked(document_chunks(spark, sf, 1000), vault(spark, PLAIN))
-    return RC.stream_receipts(rows)
+    return RC.stream_receipts(cut_lineage(rows))
 
 
 def q_stream_outcomes(spark, sf):
@@ -468,9 +471,7 @@ def q_redact_by_choice(spark, sf):
     )
     lane = ["conv_id", "choice_index", "is_tool"]
     flat = rows.withColumn("is_tool", F.col("tool_index").isNotNull())
-    from blackbar.plans.ordered import recut
-
-    return recut(flat, lane, "seq", "redacted", 4096)
+    return recut(cut_lineage(flat), lane, "seq", "redacted", 4096)
 
 
 def q_classify_requests(spark, sf):
@@ -522,7 +523,7 @@ def q_audit_trail(spark, sf):
     outcomes = ST.stream_outcomes(chunks, log, d).select(name.alias("request_id"), "outcome")
     done = outcomes.where("outcome = 'completed'").select("request_id")
     receipts = (
-        RC.stream_receipts(C.redact_chunked(chunks, d))
+        RC.stream_receipts(cut_lineage(C.redact_chunked(chunks, d)))
         .select(name.alias("request_id"), "receipt")
         .join(done, "request_id", "left_semi")
     )

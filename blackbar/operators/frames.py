@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blackbar.operators.chunks import Vault, redact_chunked
 from blackbar.functions.patterns import TOKEN
+from blackbar.operators.chunks import Vault, redact_chunked
 from blackbar.plans.ordered import recut
+from blackbar.session import cut_lineage
 
 # The frame contract.
 FRAME_TYPE = (
@@ -204,7 +205,9 @@ def assemble_messages(
     in further pieces of that length. ``tool_index`` is null for content.
     """
     lane = [*keys, "choice_index", "tool_index"]
-    whole = recut(lane_fragments(choice_rows, keys, seq), lane, seq, "fragment", piece_chars)
+    # Decoding frames costs far more than writing their text once.
+    fragments = cut_lineage(lane_fragments(choice_rows, keys, seq))
+    whole = recut(fragments, lane, seq, "fragment", piece_chars)
     return whole.select(
         *keys,
         "choice_index",
@@ -227,7 +230,7 @@ def redact_by_choice(
     by the frame boundary is found, and the lanes of a stream do not mix.
     """
     lane = [*keys, "choice_index", "tool_index"]
-    fragments = lane_fragments(choice_rows, keys, seq).select(
+    fragments = cut_lineage(lane_fragments(choice_rows, keys, seq)).select(
         F.struct(*lane).alias("lane"), seq, F.encode("fragment", "UTF-8").alias("chunk")
     )
     rows = redact_chunked(fragments, vault, "lane", seq, "chunk", token=token)
