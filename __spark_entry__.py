@@ -23,6 +23,7 @@ from blackbar.operators import text as TX
 from blackbar.operators import vault as VT
 from blackbar.plans import wide_dictionary
 from blackbar.plans.ordered import recut
+from blackbar.plans.skew import salted_join
 from blackbar.session import cut_lineage
 from blackbar.sources import tables
 from blackbar.streaming import redact as SR
@@ -131,7 +132,7 @@ def timed_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         )
         .otherwise(F.col("chunk"))
     )
-    chunks = cut.join(ends, "stream_id").select(
+    chunks = salted_join(cut, ends, ["stream_id"], "seq").select(
         "stream_id",
         "seq",
         F.timestamp_seconds(F.col("seq") * 10 + F.when(late, 20).otherwise(0)).alias("ts"),
@@ -215,7 +216,7 @@ def run_stream(spark: SparkSession, chunks: DataFrame, d: Dictionary) -> DataFra
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blackbar-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     last = chunks.groupBy("stream_id").agg(F.max("seq").alias("_end"))
-    landed = chunks.join(last, "stream_id").withColumn("eof", F.col("seq") == F.col("_end")).drop("_end")
+    landed = salted_join(chunks, last, ["stream_id"], "seq").withColumn("eof", F.col("seq") == F.col("_end")).drop("_end")
     tables.write_table(landed, f"{folder}/in")
     stream = tables.read_stream(spark, f"{folder}/in", landed.schema)
     out = SR.redact_stream(stream, d, idle_ms=None)
@@ -413,7 +414,8 @@ def q_payload_limit(spark, sf):
         .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("x"), n))
         .alias("declared"),
     )
-    chunks = C.chunk_table(docs, "doc_id", "text", 512).join(lengths, "stream_id")
+    cut = C.chunk_table(docs, "doc_id", "text", 512)
+    chunks = salted_join(cut, lengths, ["stream_id"], "seq")
     out = ST.payload_limit(chunks, 8192, "declared", key="stream_id")
     return out.select("stream_id", "seq", "total_bytes", "status")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blackbar.functions.patterns import TOKEN
+from blackbar.plans.skew import salted_join
 
 DEFAULT_PATTERNS = "password,secret,ssn"
 
@@ -92,11 +93,10 @@ def live_patterns(vault: DataFrame) -> DataFrame:
     pattern offers its substrings that end early to a hash join with the dictionary, so
     the work grows with the pattern lengths and not with the square of their number.
     """
-    first_of_equals = Window.partitionBy("pattern").orderBy("pattern_id")
+    others = [c for c in vault.columns if c not in ("pattern_id", "pattern")]
+    first = F.min(F.struct("pattern_id", *others)).alias("_first")
     distinct = (
-        vault.withColumn("_copy", F.row_number().over(first_of_equals))
-        .where("_copy = 1")
-        .drop("_copy")
+        vault.groupBy("pattern").agg(first).select("pattern", "_first.*").select(*vault.columns)
     )
     n = F.length("pattern")
     early_ending = F.flatten(
@@ -111,7 +111,9 @@ def live_patterns(vault: DataFrame) -> DataFrame:
     inner = distinct.where(n > 1).select(
         "pattern_id", F.explode(F.array_distinct(early_ending)).alias("pattern")
     )
-    shadowed = inner.join(
-        distinct.select("pattern"), "pattern", "left_semi"
-    ).select("pattern_id").distinct()
+    shadowed = (
+        salted_join(inner, distinct.select("pattern"), ["pattern"], "pattern_id", "left_semi")
+        .select("pattern_id")
+        .distinct()
+    )
     return distinct.join(shadowed, "pattern_id", "left_anti")
