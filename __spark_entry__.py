@@ -28,6 +28,14 @@ from blackbar.session import cut_lineage
 from blackbar.sources import tables
 from blackbar.streaming import redact as SR
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline
+    from blackbar.llm import registry as LLM
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "blackbar.llm", "blackbar.llm.registry"):
+        raise
+    LLM = None
+
 # Occurrences of these can never overlap ...
 PLAIN = ["the", "é", "License", "+1", "Apache", "token", "MIT"]
 # ... of these they can ("the" ends in the first letter of "example"), and one is shadowed.
@@ -538,7 +546,10 @@ def q_audit_trail(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
-    return {"redaction_summary": redaction_summary, **found}
+    found = {"redaction_summary": redaction_summary, **found}
+    if LLM:
+        found |= {**LLM.QUERIES, "pipeline": corpus_pipeline.run}
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -548,4 +559,9 @@ def entry(spark: SparkSession) -> DataFrame:
 def oracle_sql() -> dict[str, str]:
     from blackbar_oracle import ORACLE
 
-    return ORACLE
+    found = dict(ORACLE)
+    if LLM:
+        found |= LLM.ORACLE
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
