@@ -37,7 +37,7 @@ def exact_dedup(
     counts = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = store(counts, "digests")
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / rows_per_salt)).cast("int")
-    again = store(rows.join(counts, "text_sha256").withColumn("salt", salt), "repeated")
+    again = store(rows.join(counts.hint("merge"), "text_sha256").withColumn("salt", salt), "repeated")
     local = again.groupBy("text_sha256", "salt", "body", "n").agg(
         F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("rows")
     )
@@ -48,12 +48,12 @@ def exact_dedup(
         "winners",
     )
     groups = again.join(
-        winners.drop("n"), ["text_sha256", "salt", "body"]
+        winners.drop("n").hint("merge"), ["text_sha256", "salt", "body"]
     ).select("doc_id", "text_sha256", "keep_id", "group_size").distinct()
     left, right = rows.drop("body").alias("l"), groups.alias("r")
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_sha256") == F.col("r.text_sha256"))
     return (
-        left.join(right, same, "left")
+        left.join(right.hint("merge"), same, "left")
         .select(
             F.col("l.doc_id").alias("doc_id"),
             F.when(F.col("r.group_size").isNull(), F.col("l.doc_id")).otherwise(F.col("r.keep_id")).alias("keep_id"),
