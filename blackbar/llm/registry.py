@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from blackbar.llm import exact_dedup, packing, simhash
+from blackbar.llm import exact_dedup, packing, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_toxicity": toxicity.query,
     "op5_simhash_neardup": simhash.query,
     "op9_exact_dedup": exact_dedup.query,
 }
