@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from blackbar.llm import exact_dedup, packing, simhash, toxicity
+from blackbar.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op3_toxicity": toxicity.query,
     "op5_simhash_neardup": simhash.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
