@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from blackbar.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
+from blackbar.llm import exact_dedup, license_scan, packing, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
     "op3_toxicity": toxicity.query,
     "op5_simhash_neardup": simhash.query,
+    "op6_url_filter": url_filter.query,
     "op7_suffix_dedup": suffix_dedup.query,
+    "op8_license_scan": license_scan.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
