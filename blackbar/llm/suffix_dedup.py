@@ -14,8 +14,9 @@ from blackbar.llm.words import by_bytes, ragged, rows_of
 
 LENGTH = 200
 GRAM = 40
-# An anchor seen more often than this is solved by counting its strings over all tasks.
-HOT_ANCHOR = 1000
+# The strings of an anchor seen more often than this are not gathered (up to here they are at
+# most 20,000 times 360 bytes, 7 MB) but counted over all tasks.
+HOT_ANCHOR = 20_000
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -192,19 +193,31 @@ def _cut_strings(length: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = ["head", "body", "anchor", "hot", "first", "piece"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+        rows: list[tuple] = []
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            rows.clear()
+            return out
+
         for batch in batches:
+            head, body, text, runs = batch.columns
+            offsets = runs.offsets.to_numpy()
+            anchor, hot, first, last = (c.to_numpy(zero_copy_only=False) for c in runs.flatten().flatten())
+            offsets = offsets - offsets[0]
             for i in range(batch.num_rows):
-                sha, text, runs = (c[i].as_py() for c in batch.columns)
-                data = text.encode()
-                rows = [(r["anchor"], r["hot"], r["first"], data[r["first"] : r["last"] + length]) for r in runs]
-                rows = [r for r in rows if len(r[3]) >= length]
-                if rows:
-                    anchor, hot, first, piece = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([sha] * len(rows)), pa.array(anchor, pa.int64()), pa.array(hot, pa.bool_()),
-                         pa.array(first, pa.int64()), pa.array(piece, pa.binary())],
-                        names=["sha", "anchor", "hot", "first", "piece"],
-                    )
+                data = text[i].as_py().encode()
+                h, b = head[i].as_py(), body[i].as_py()
+                for j in range(offsets[i], offsets[i + 1]):
+                    piece = data[first[j] : last[j] + length]
+                    if len(piece) >= length:
+                        rows.append((h, b, anchor[j], hot[j], first[j], piece))
+                if len(rows) >= 2000:
+                    yield flush()
+        if rows:
+            yield flush()
 
     return run
 
@@ -272,13 +285,13 @@ def _apply():
         from blackbar.llm.suffix_dedup import keep_bytes
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                sha, text, runs = (c[i].as_py() for c in batch.columns)
-                kept, removed, spans = keep_bytes(text.encode(), [(r["from"], r["to"]) for r in runs])
+            for at in range(0, batch.num_rows, 200):
+                rows = []
+                for sha, text, runs in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns)):
+                    kept, removed, spans = keep_bytes(text.encode(), [(r["from"], r["to"]) for r in runs])
+                    rows.append((sha, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([sha]), pa.array([removed], pa.int64()), pa.array([spans], pa.int64()),
-                     pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept.decode("utf-8", "ignore")])],
-                    names=["sha", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                    [pa.array(c) for c in zip(*rows)], names=["sha", "n_removed", "n_spans", "kept_sha256", "kept_text"]
                 )
 
     return run
@@ -305,7 +318,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_runs(rows: DataFrame, heads: DataFrame, length: int, gram: int, hot_anchor: int) -> DataFrame:
-    """Per text (``sha``) with repeats: runs array<from, to>, the bytes that repeats cover.
+    """Per text (``head`` and ``body``) with repeats: runs array<from, to>, the bytes that repeats cover.
 
     1. Every string of ``length`` bytes is filed under its anchor; anchors that only one place
        has are dropped. This moves a few bytes per anchor, not the text.
@@ -327,20 +340,23 @@ def repeated_runs(rows: DataFrame, heads: DataFrame, length: int, gram: int, hot
     run = F.struct("anchor", "hot", F.col("first"), F.col("last"))
     runs = found.join(often.hint("merge"), "anchor").groupBy("body").agg(F.collect_set(run).alias("runs"))
     by_head = store(runs.join(heads.withColumn("body", F.xxhash64("sha")).hint("merge"), "body").select("sha", "head", "runs"), "runs")
+    # a text has two numbers of its own here: its id and a hash
+    at_head = _at_head(rows, by_head).select(
+        F.coalesce("head", F.lit(0)).alias("head"), F.xxhash64("sha").alias("body"), "body_text", "runs"
+    )
     pieces = store(
-        _at_head(rows, by_head)
-        .mapInArrow(_cut_strings(length), "sha string, anchor bigint, hot boolean, first bigint, piece binary")
-        .dropDuplicates(["sha", "anchor", "first"]),
+        at_head.mapInArrow(_cut_strings(length), "head bigint, body bigint, anchor bigint, hot boolean, first bigint, piece binary")
+        .withColumn("piece_key", F.xxhash64("piece")),
         "pieces",
     )
-    piece_key = F.xxhash64("piece").alias("piece_key")
-    once = pieces.groupBy("anchor", "hot", "piece").agg(F.count(F.lit(1)).alias("n"))
-    common = once.where("not hot").select("anchor", "piece", "n", piece_key)
+    # equal rows are read several times here; they only repeat strings of texts that go anyway
+    once = pieces.groupBy("anchor", "hot", "piece_key", "piece").agg(F.count(F.lit(1)).alias("n"))
+    common = once.where("not hot").select("anchor", "piece", "n", "piece_key")
     solved = common.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         _solve(length), "anchor bigint, piece_key bigint, from bigint, to bigint"
     )
     starts = once.where("hot").select(
-        "anchor", "n", piece_key, "piece",
+        "anchor", "n", "piece_key", "piece",
         F.explode(F.sequence(F.lit(0), F.octet_length("piece") - length)).alias("from"),
     ).select(
         "anchor", "n", "piece_key", "from",
@@ -351,8 +367,8 @@ def repeated_runs(rows: DataFrame, heads: DataFrame, length: int, gram: int, hot
         "anchor", "piece_key", F.col("from").cast("bigint"), F.col("from").cast("bigint").alias("to")
     )
     both = store(solved.union(counted), "solved")
-    hits = pieces.select("sha", "anchor", "first", piece_key).join(both.hint("merge"), ["anchor", "piece_key"])
-    return hits.groupBy("sha").agg(
+    hits = pieces.select("head", "body", "anchor", "first", "piece_key").join(both.hint("merge"), ["anchor", "piece_key"])
+    return hits.groupBy("head", "body").agg(
         F.collect_set(
             F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + length).alias("to"))
         ).alias("runs")
@@ -360,10 +376,10 @@ def repeated_runs(rows: DataFrame, heads: DataFrame, length: int, gram: int, hot
 
 
 def _at_head(rows: DataFrame, by_head: DataFrame) -> DataFrame:
-    """(sha, body_text, runs) of the one copy of each text that brings it."""
+    """(sha, head, body_text, runs) of the one copy of each text that brings it."""
     h = by_head.hint("merge").withColumnRenamed("sha", "head_sha")
     same = (F.col("sha") == F.col("head_sha")) & F.col("id").eqNullSafe(F.col("head"))
-    return rows.join(h, same).select("sha", "body_text", "runs")
+    return rows.join(h, same).select("sha", "head", "body_text", "runs")
 
 
 def cut_texts(
@@ -373,8 +389,11 @@ def cut_texts(
     rows = _rows(docs, id_col, text_col)
     heads = store(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("head")), "heads")
     runs = repeated_runs(rows, heads.select("sha", "head"), length, gram, hot_anchor)
-    single = store(runs.join(heads.where("copies = 1").hint("merge"), "sha").select("sha", "head", "runs"), "single")
-    cut = _at_head(rows, single).mapInArrow(
+    alone = heads.where("copies = 1").select(
+        "sha", F.col("head").alias("own"), F.coalesce("head", F.lit(0)).alias("head"), F.xxhash64("sha").alias("body")
+    )
+    single = store(runs.join(alone.hint("merge"), ["head", "body"]).select("sha", F.col("own").alias("head"), "runs"), "single")
+    cut = _at_head(rows, single).select("sha", "body_text", "runs").mapInArrow(
         _apply(), "sha string, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
     )
     return store(cut, "cut"), heads.where("copies > 1").select("sha", "copies")
