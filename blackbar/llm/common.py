@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pathlib
 import posixpath
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,6 +29,24 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once per application.
+
+    The registered queries do this, as a session may be started from any folder. Jobs that
+    install the package on the cluster need it not.
+    """
+    app = spark.sparkContext.applicationId
+    if _SHIPPED.get("app") == app:
+        return
+    root = pathlib.Path(__file__).resolve().parents[1]
+    path = pathlib.Path(tempfile.mkdtemp(prefix="blackbar-zip-")) / "blackbar_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED["app"] = app
+
+
 def store(df: DataFrame, name: str = "step") -> DataFrame:
     """Write an intermediate table once to the shared folder and read it back."""
     spark = df.sparkSession

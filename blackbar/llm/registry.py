@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
-from blackbar.llm import exact_dedup, license_scan, packing, simhash, suffix_dedup, toxicity, url_filter
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from blackbar.llm import (
+    embedding_dedup,
+    exact_dedup,
+    license_scan,
+    packing,
+    sentence_pieces,
+    simhash,
+    suffix_dedup,
+    suffix_tree,
+    toxicity,
+    url_filter,
+)
+from blackbar.llm.common import ship
+
+
+def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op1_packing": packing.query,
-    "op3_toxicity": toxicity.query,
-    "op5_simhash_neardup": simhash.query,
-    "op6_url_filter": url_filter.query,
-    "op7_suffix_dedup": suffix_dedup.query,
+    "op1_packing": _shipped(packing.query),
+    "op2_lm_score": _shipped(suffix_tree.query),
+    "op3_toxicity": _shipped(toxicity.query),
+    "op4_embedding_neardup": _shipped(embedding_dedup.query),
+    "op5_simhash_neardup": _shipped(simhash.query),
+    "op6_url_filter": _shipped(url_filter.query),
+    "op7_suffix_dedup": _shipped(suffix_dedup.query),
     "op8_license_scan": license_scan.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_sentence_pieces": _shipped(sentence_pieces.query),
 }
 
 ORACLE = {"op9_exact_dedup": exact_dedup.ORACLE}
