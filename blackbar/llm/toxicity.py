@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blackbar.llm.common import mix64, spread
-from blackbar.llm.words import Words, by_bytes, ragged, rows_of
+from blackbar.llm.words import Words, by_bytes, ragged
 
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
 WINDOW, STRIDE = 32, 24
@@ -266,33 +267,50 @@ def score_texts(net: Network, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-best))
 
 
-def _scorer(net: Network):
+def _scorer(net: Network, text_at: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from blackbar.llm.toxicity import score_texts
-        from blackbar.llm.words import by_bytes, rows_of
-
-        for keys, texts in by_bytes(rows_of(batches), 1_000_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(score_texts(net, texts))], names=["doc_id", "score"]
-            )
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                texts = enumerate(some.column(text_at).to_pylist())
+                score = np.concatenate([score_texts(net, t) for _, t in by_bytes(texts, 1_000_000)])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(score)], names=[*some.schema.names, "_score"])
 
     return run
 
 
+def with_score(rows: DataFrame, text_col: str, net: Network) -> DataFrame:
+    """The rows with a column ``_score``; every text is scored where it is read."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])
+    return spread(rows).mapInArrow(_scorer(net, rows.columns.index(text_col)), schema)
+
+
 def crc_of(column) -> F.col:
     return F.crc32(F.encode(column.cast("string"), "UTF-8"))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, chars: int) -> tuple[list[str], np.ndarray]:
-    """At most ``toxic`` and ``clean`` rows of each label, in the order of a hash of their ids."""
+    """At most ``toxic`` and ``clean`` rows of each label, in the order of a hash of their ids.
+
+    Ids and lengths are joined with the labels; only the chosen rows' texts are fetched.
+    """
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    rows = rows.where(F.length("text") <= chars).select("toxic", "text", F.xxhash64("doc_id").alias("h"))
-    parts = [rows.where(F.col("toxic") == y).orderBy("h", "text").limit(n) for y, n in ((1, toxic), (0, clean))]
-    found = parts[0].unionByName(parts[1]).select("toxic", "text").toPandas()
-    return found["text"].tolist(), found["toxic"].to_numpy(np.int64)
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
+    rows = short.select("doc_id").join(known.hint("merge"), "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+    parts = [rows.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
+    chosen = {r["doc_id"]: r["toxic"] for r in parts[0].unionByName(parts[1]).collect()}
+    texts = short.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = sorted(texts.limit(toxic + clean).collect()) if chosen else []
+    return [r["text"] for r in found], np.array([chosen[r["doc_id"]] for r in found], np.int64)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, chars: int, epochs: int) -> Network:
+    held_out = F.coalesce(crc_of(F.col("doc_id")) % 4 == 2, F.lit(False))
+    tables = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"))
+    texts, y = training_sample(docs.where(~held_out), tables.where(~held_out), toxic, clean, chars)
+    return train(texts, y, epochs)
 
 
 def toxicity(
@@ -314,22 +332,22 @@ def toxicity(
     texts have one window without words. Rows are scored one by one, so repeated rows, ties
     and null ids (held_out false) need no rule; without labels all scores are equal and low.
     """
-    held_out = F.coalesce(crc_of(F.col("doc_id")) % 4 == 2, F.lit(False))
     own = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
-    tables = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"))
-    texts, y = training_sample(own.where(~held_out), tables.where(~held_out), train_toxic, train_clean, train_chars)
-    net = train(texts, y, epochs)
-    scored = spread(own).mapInArrow(_scorer(net), "doc_id bigint, score double")
-    return scored.select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    net = fitted(own, labels, train_toxic, train_clean, train_chars, epochs)
+    return with_score(own, "text", net).select(
+        "doc_id",
+        F.coalesce(crc_of(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= threshold).cast("int").alias("predicted"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not rejected. Each text is scored in the row that is kept."""
+    """The documents that are not rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    own = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
+    net = fitted(own, labels, TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, EPOCHS)
+    return with_score(docs, "text", net).where(F.col("_score") < THRESHOLD).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
