@@ -22,9 +22,9 @@ def spark():
             "spark.driver.memory": "6g",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.host": "127.0.0.1",
+            # the executors of this session are threads on this machine
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="blackbar-"),
         },
     )
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="blackbar-"))
     yield spark
     spark.stop()
