@@ -304,8 +304,8 @@ def q_redact_text(spark, sf):
 
 def q_redact_text_wide(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    return wide_dictionary.redact(
-        docs, ["doc_id"], "text", vault(spark, OVERLAPPING, LABELS), "text"
+    return wide_dictionary.redact(docs, "text", vault(spark, OVERLAPPING, LABELS), "text").select(
+        "doc_id", "text"
     )
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _BLOCK = 256
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where the body names it in a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _running(lengths: Column, start: Column) -> Column:
     """Exclusive running sums of a short array, starting at ``start``."""
     zero = F.struct(
@@ -30,13 +35,20 @@ def running_starts(lengths: Column) -> Column:
     Appending to an array copies it, so long arrays are summed in blocks: the block
     totals are run first, then every block from its own start.
     """
+    return let(lengths, _block_starts)
+
+
+def _block_starts(lengths: Column) -> Column:
     last = F.floor((F.size(lengths) - 1) / _BLOCK)
     blocks = F.transform(
         F.sequence(F.lit(0), last.cast("int")),
         lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)),
     )
-    totals = F.transform(
-        blocks, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, n: a + n)
-    )
-    by_block = F.flatten(F.zip_with(blocks, _running(totals, F.lit(0)), _running))
-    return F.when(F.size(lengths) <= _BLOCK, _running(lengths, F.lit(0))).otherwise(by_block)
+
+    def starts(blocks: Column) -> Column:
+        totals = F.transform(
+            blocks, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, n: a + n)
+        )
+        return F.flatten(F.zip_with(blocks, _running(totals, F.lit(0)), _running))
+
+    return F.when(F.size(lengths) <= _BLOCK, _running(lengths, F.lit(0))).otherwise(let(blocks, starts))

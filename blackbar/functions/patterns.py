@@ -9,6 +9,8 @@ alternatives. That is what lets every operator use Spark's native regexp functio
 
 from __future__ import annotations
 
+import json
+import os.path
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,13 +19,12 @@ from pyspark.sql import functions as F
 
 TOKEN = "[REDACTED]"
 
-# Above this many patterns an alternation is no longer a sensible plan and the
-# dictionary stays a table that is joined (see plans/wide_dictionary.py).
-REGEX_PATTERN_LIMIT = 2000
-
-
-class DictionaryTooLarge(ValueError):
-    """The dictionary has more patterns than one regular expression should hold."""
+# Longer patterns do not become nested groups, which regex engines compile by recursion.
+_NESTED = 300
+# A map of more entries is parsed from one literal instead of being built entry by entry.
+_MAP_ENTRIES = 200
+# Stands between a text and a pattern; a Unicode noncharacter.
+_MARK = "\uffff"
 
 
 @dataclass(frozen=True)
@@ -57,19 +58,21 @@ def text_bytes(latin1: Column) -> Column:
     return F.encode(latin1, "ISO-8859-1")
 
 
-def _factored(words: list[str]) -> str:
+def _factored(words: list[str], depth: int = 0) -> str:
     """Alternation of prefix-free words, grouped by common leading characters."""
     if len(words) == 1:
         return quote(words[0])
     groups: dict[str, list[str]] = {}
     for word in words:
-        groups.setdefault(word[0], []).append(word[1:])
+        groups.setdefault(word[0], []).append(word)
     parts = []
-    for first, rests in groups.items():
-        if len(rests) == 1:
-            parts.append(quote(first + rests[0]))
+    for group in groups.values():
+        shared = len(os.path.commonprefix([min(group), max(group)]))
+        if len(group) == 1 or depth >= _NESTED:
+            parts += map(quote, group)
         else:
-            parts.append(quote(first) + "(?:" + _factored(rests) + ")")
+            rests = [w[shared:] for w in group]
+            parts.append(quote(group[0][:shared]) + "(?:" + _factored(rests, depth + 1) + ")")
     return "|".join(parts)
 
 
@@ -85,6 +88,7 @@ def suffix_regex(words: list[str]) -> str | None:
     """Regex for the longest proper prefix of any word that ends a text (none: no match).
 
     The search starts as far left as possible, so the first hit is the longest suffix.
+    Words must not be longer than the nesting a regex can have (see ``pending_length``).
     """
     prefixes: dict[str, dict] = {}
     for word in words:
@@ -103,7 +107,7 @@ def suffix_regex(words: list[str]) -> str | None:
 
 @dataclass(frozen=True)
 class Dictionary:
-    """The patterns of a vault in driver memory; bounded by REGEX_PATTERN_LIMIT."""
+    """The patterns of a vault in driver memory, from where they travel as one regex literal."""
 
     entries: tuple[Entry, ...]
 
@@ -116,9 +120,14 @@ class Dictionary:
                 seen.add(e.pattern)
                 distinct.append(e)
 
+        lengths = sorted({len(w) for w in seen})
+
         def shadowed(word: str) -> bool:
             return any(
-                word[i:j] in seen for j in range(1, len(word)) for i in range(j)
+                word[i : i + n] in seen
+                for n in lengths
+                if n < len(word)
+                for i in range(len(word) - n)
             )
 
         return tuple(e for e in distinct if not shadowed(e.pattern))
@@ -154,18 +163,6 @@ class Dictionary:
     def byte_regex(self) -> str | None:
         return match_regex([as_bytes_text(w) for w in self.words])
 
-    @cached_property
-    def byte_suffix_regex(self) -> str | None:
-        return suffix_regex([as_bytes_text(w) for w in self.words])
-
-    @cached_property
-    def any_suffix_regex(self) -> str | None:
-        return suffix_regex([e.pattern for e in self.entries])
-
-    @cached_property
-    def any_byte_suffix_regex(self) -> str | None:
-        return suffix_regex([as_bytes_text(e.pattern) for e in self.entries])
-
     @cached_property
     def uniform_replacement(self) -> str | None:
         """The one replacement all live patterns share, or None."""
@@ -174,32 +171,48 @@ class Dictionary:
 
     def lookup(self, attribute: str) -> Column:
         """Literal map from pattern text to one of its attributes."""
-        pairs = []
-        for e in self.live:
-            pairs += [F.lit(e.pattern), F.lit(getattr(e, attribute))]
-        return F.create_map(*pairs)
+        pairs = {e.pattern: getattr(e, attribute) for e in self.live}
+        if len(pairs) > _MAP_ENTRIES:
+            kind = "int" if attribute == "pattern_id" else "string"
+            return F.from_json(F.lit(json.dumps(pairs, ensure_ascii=False)), f"map<string,{kind}>")
+        return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
     def pending_bytes(self, latin1: Column) -> Column:
         """Length of the longest suffix that is a proper prefix of a live pattern."""
-        return pending_length(latin1, self.byte_suffix_regex, self.live_bytes)
+        return pending_length(latin1, [as_bytes_text(w) for w in self.words])
+
+    def any_pending(self, text: Column, as_bytes: bool) -> Column:
+        """The same over all patterns, shadowed ones too."""
+        words = dict.fromkeys(e.pattern for e in self.entries)
+        return pending_length(text, [as_bytes_text(w) for w in words] if as_bytes else list(words))
+
 
+def pending_length(text: Column, words: list[str]) -> Column:
+    """Length of the longest suffix of a text that is a proper prefix of a word."""
+    short, long = [w for w in words if len(w) <= _NESTED], [w for w in words if len(w) > _NESTED]
+    found = [F.lit(0)]
 
-def pending_length(text: Column, regex: str | None, longest: int) -> Column:
-    if regex is None:
-        return F.lit(0)
-    tail = F.substring(text, -(longest - 1), longest - 1)
-    return F.length(F.regexp_extract(tail, regex, 0))
+    def tail(n: int) -> Column:
+        return F.substring(text, -n, n)
 
+    regex = suffix_regex(short)
+    if regex is not None:
+        longest = max(map(len, short))
+        found.append(F.length(F.regexp_extract(tail(longest - 1), regex, 0)))
+    for word in long:
+        # what stands before the mark must be repeated behind it, from the word's first character
+        end = F.substring_index(tail(len(word) - 1), _MARK, -1)
+        both = F.concat(end, F.lit(_MARK + word))
+        found.append(F.length(F.regexp_extract(both, f"([^{_MARK}]+){_MARK}\\1", 1)))
+    return F.greatest(*found) if len(found) > 1 else found[0]
 
-def collect_dictionary(vault: DataFrame, limit: int = REGEX_PATTERN_LIMIT) -> Dictionary:
-    """Fetch a vault table to the driver; refuses more than ``limit`` patterns."""
-    rows = (
-        vault.select("pattern_id", "pattern", "replacement", "escaped_replacement")
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(rows) > limit:
-        raise DictionaryTooLarge(f"more than {limit} patterns; keep the vault a table")
+
+def collect_dictionary(vault: DataFrame) -> Dictionary:
+    """Fetch a vault table to the driver, whatever its size.
+
+    A dictionary that does not fit there stays a table (see plans/wide_dictionary.py).
+    """
+    rows = vault.select("pattern_id", "pattern", "replacement", "escaped_replacement").collect()
     return Dictionary(tuple(sorted((Entry(*r) for r in rows), key=lambda e: e.pattern_id)))
 
 

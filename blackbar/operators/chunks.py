@@ -19,7 +19,6 @@ from blackbar.functions.patterns import (
     as_bytes_text,
     as_dictionary,
     bytes_text,
-    pending_length,
     quote_replacement,
     text_bytes,
 )
@@ -184,8 +183,7 @@ def safe_boundary(df: DataFrame, col: str, vault: Vault) -> DataFrame:
     text = F.col(col)
     if d.max_bytes <= 1:
         return df.withColumn("safe", text).withColumn("held", F.lit(""))
-    longest = max(len(e.pattern) for e in d.entries)
-    partial = pending_length(text, d.any_suffix_regex, longest)
+    partial = d.any_pending(text, as_bytes=False)
     held = F.when(F.octet_length(text) <= d.max_bytes, F.length(text)).otherwise(partial)
     return (
         df.withColumn("_held", held)
@@ -327,7 +325,7 @@ def _pending_states(
         reached = _pending_after(F.concat(start, bytes_text(F.col(chunk))), d)
         possible = (n == 0) | (
             (F.octet_length("context") >= n)
-            & (F.regexp_extract(start, d.byte_suffix_regex, 0) == start)
+            & (d.pending_bytes(start) == F.length(start))
         )
         return F.when(possible, reached).otherwise(F.lit(0))
 
@@ -384,7 +382,7 @@ def hold_limit(
     joined = F.concat(F.col("context"), F.substring(chunk, -size, size))
     tail = F.col("cut_after")
     whole = bytes_text(without_tail(joined, tail))
-    partial = pending_length(whole, d.any_byte_suffix_regex, longest)
+    partial = d.any_pending(whole, as_bytes=True)
     n = F.octet_length(chunk)
 
     measured = rows.select(

@@ -24,10 +24,13 @@ _CONTENT = -1  # tool_index of the content lane inside keys, where null is not a
 
 
 def split_sse(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Event-stream text -> one row per event: ``keys, event_no, frame`` without ``data: ``."""
-    events = F.filter(
-        F.split(F.col(col), "(?:\\r?\\n){2,}"), lambda e: F.trim(e) != ""
-    )
+    """Event-stream text -> one row per event: ``keys, event_no, frame`` without ``data: ``.
+
+    Comment lines and the fields event, id and retry are not part of a frame; an event without
+    any other line is none.
+    """
+    clean = F.regexp_replace(F.col(col), r"(?m)^(?::|(?:event|id|retry)(?=:|$)).*(?:\r?\n|$)", "")
+    events = F.filter(F.split(clean, "(?:\\r?\\n){2,}"), lambda e: F.trim(e) != "")
     payload = F.transform(events, lambda e: F.regexp_replace(e, "(?m)^data: ?", ""))
     return df.select(*keys, F.posexplode(payload).alias("event_no", "frame"))
 
@@ -177,15 +180,14 @@ def lane_fragments(choice_rows: DataFrame, keys: list[str], seq: str) -> DataFra
     """Text fragments per lane: ``keys, choice_index, tool_index, seq, fragment``.
 
     The content of a choice is one lane (``tool_index`` -1), the arguments of its tool
-    call another (a delta has room for a single call, so tool 0). Fragments of one ``seq``
+    call another (a delta has room for a single call, so tool 0), and those of the call's
+    function a third (1). Fragments of one ``seq``
     are joined, so ``seq`` is unique within a lane.
     """
     lanes = F.array(
         F.struct(F.lit(_CONTENT).alias("tool_index"), F.col("content").alias("_text")),
-        F.struct(
-            F.lit(0).alias("tool_index"),
-            F.coalesce("tool_arguments", "function_arguments").alias("_text"),
-        ),
+        F.struct(F.lit(0).alias("tool_index"), F.col("tool_arguments").alias("_text")),
+        F.struct(F.lit(1).alias("tool_index"), F.col("function_arguments").alias("_text")),
     )
     place = [F.col(c) for c in ("event_no", "choice_no") if c in choice_rows.columns]
     rows = choice_rows.select(

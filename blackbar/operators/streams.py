@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blackbar.functions.arrays import let
 from blackbar.functions.patterns import (
     TOKEN,
     as_bytes_text,
     as_dictionary,
     bytes_text,
-    quote_replacement,
     text_bytes,
 )
 from blackbar.operators.chunks import DEFAULT_CAPACITY, Vault, chunk_status, hold_limit
@@ -103,7 +103,8 @@ def error_body_prefix(
 
     Reading stops at a ``failed`` row, and with ``ts`` and ``started`` after a wait beyond
     ``read_gap`` or beyond ``read_total`` altogether. The prefix is redacted with
-    ``vault`` unless ``raw``. Requests without any body bytes have no row.
+    ``vault`` unless ``raw``; a match that the limit cuts is written as the token, so no part
+    of it is shown. Requests without any body bytes have no row.
     """
     if not raw and vault is None:
         raise ValueError("name a vault, or ask for the raw body")
@@ -122,10 +123,13 @@ def error_body_prefix(
         )
         rows = idle_timeouts(rows, key, ts, read_gap, begun).where("not dropped")
     rows = rows.select(key, seq, chunk).where(F.octet_length(chunk) > 0)
+    d = None if raw else as_dictionary(vault)
+    # a match that begins inside the limit can be seen to its end
+    reach = limit + (max(d.live_bytes - 1, 0) if d else 0)
     head = running_sum(rows, [key], seq, F.octet_length(chunk), "_before").where(
-        F.col("_before") < limit
+        F.col("_before") < reach
     )
-    part = F.col(chunk).substr(F.lit(1), (F.lit(limit) - F.col("_before")).cast("int"))
+    part = F.col(chunk).substr(F.lit(1), (F.lit(reach) - F.col("_before")).cast("int"))
     # Non-empty parts that together stay within the limit: a bounded group.
     bodies = (
         head.select(key, F.col(seq).alias("_seq"), part.alias("_part"))
@@ -134,13 +138,32 @@ def error_body_prefix(
     )
     if raw:
         return bodies
-    d = as_dictionary(vault)
     if d.byte_regex is None:
         return bodies
-    redacted = F.regexp_replace(
-        bytes_text(F.col("body")), d.byte_regex, quote_replacement(as_bytes_text(TOKEN))
+    text = bytes_text(F.col("body"))
+    return bodies.withColumn("body", text_bytes(let(text, lambda t: _redacted_prefix(t, d.byte_regex, limit))))
+
+
+def _redacted_prefix(text: Column, regex: str, limit: int) -> Column:
+    """What is left of the first ``limit`` characters once every match that begins there is a token."""
+    token = F.lit(as_bytes_text(TOKEN))
+    parts = F.zip_with(
+        F.split(text, regex, -1),
+        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
+        lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")),
     )
-    return bodies.withColumn("body", text_bytes(redacted))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, part):
+        begin = acc["at"] + F.length(part["gap"])
+        shown = F.substr(part["gap"], F.lit(1), F.greatest(F.lit(limit) - acc["at"], F.lit(0)))
+        hit = F.when(part["hit"].isNotNull() & (begin < limit), token).otherwise(F.lit(""))
+        return F.struct(
+            (begin + F.coalesce(F.length(part["hit"]), F.lit(0))).alias("at"),
+            F.concat(acc["out"], shown, hit).alias("out"),
+        )
+
+    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
 
 def stream_outcomes(
@@ -157,8 +180,8 @@ def stream_outcomes(
     """Per stream of the log: ``key, outcome, failed_seq``; the earliest failure counts.
 
     ``streams`` holds ``key, started, ended, end_reason``; the outcomes read_error and
-    downstream_dropped can only come from its ``end_reason``. Only completed streams have
-    a receipt.
+    downstream_dropped can only come from its ``end_reason``. A stream whose ``end_reason`` is
+    null or unknown is ``open``. Only completed streams have a receipt.
     """
     d = as_dictionary(vault)
     cuts = idle_cuts(chunks, key, ts, gap, streams).select(key, "last_before")
@@ -198,6 +221,7 @@ def stream_outcomes(
         .when(full_seq < never, "buffer_limit")
         .when(F.col("last_before").isNotNull(), "idle_timeout")
         .when(F.col("end_reason").isin("read_error", "downstream_dropped"), F.col("end_reason"))
+        .when(~F.coalesce(F.col("end_reason") == "eof", F.lit(False)), "open")
         .when(F.coalesce("_cut_off", F.lit(False)), "rejected_at_end")
         .otherwise("completed")
     )

@@ -1,8 +1,8 @@
 """Finding and redacting dictionary patterns in a text column.
 
-With a dictionary small enough for one regular expression every operator here is a plain
-projection or filter (no shuffle, no Python). A larger vault table goes through the
-joins of plans/wide_dictionary.py; ``find_matches`` and ``redact_text`` choose by size.
+Every operator here is a plain projection or filter by one regular expression (no shuffle, no
+Python), with the same rows for a dictionary of any size. plans/wide_dictionary.py has a join
+plan for a vault that does not fit in the driver's memory.
 """
 
 from __future__ import annotations
@@ -10,15 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blackbar.functions.arrays import running_starts
+from blackbar.functions.arrays import let, running_starts
 from blackbar.functions.patterns import (
     TOKEN,
     Dictionary,
-    DictionaryTooLarge,
     as_dictionary,
     quote_replacement,
 )
-from blackbar.plans import wide_dictionary
 
 Vault = DataFrame | Dictionary
 
@@ -67,15 +65,9 @@ def filter_matching(
 ) -> DataFrame:
     """Rows whose text holds a pattern, or with ``negate`` those it leaves unchanged.
 
-    ``keys`` identify a row; they are needed only for a vault beyond the regex limit.
+    A null text holds none. ``keys`` are no longer needed and not used.
     """
-    try:
-        hit = matches_any(F.col(col), as_dictionary(vault))
-    except DictionaryTooLarge:
-        if not keys:
-            raise
-        found = wide_dictionary.candidates(df, keys, col, vault).select(*keys).distinct()
-        return df.join(found, keys, "left_anti" if negate else "left_semi")
+    hit = F.coalesce(matches_any(F.col(col), as_dictionary(vault)), F.lit(False))
     return df.where(~hit if negate else hit)
 
 
@@ -88,17 +80,8 @@ def redact_constant(
 def redact_text(
     df: DataFrame, col: str, vault: Vault, keys: list[str] | None = None, out: str | None = None
 ) -> DataFrame:
-    """Replace each match by its pattern's replacement.
-
-    ``keys`` identify a row; they are needed only for a vault beyond the regex limit.
-    """
-    try:
-        d = as_dictionary(vault)
-    except DictionaryTooLarge:
-        if not keys:
-            raise
-        return wide_dictionary.redact(df, keys, col, vault, out or col)
-    return df.withColumn(out or col, replaced(F.col(col), d))
+    """Replace each match by its pattern's replacement (``keys`` are no longer needed)."""
+    return df.withColumn(out or col, replaced(F.col(col), as_dictionary(vault)))
 
 
 def redact_json_text(
@@ -111,20 +94,16 @@ def redact_json_text(
 
 def _pieces(text: Column, d: Dictionary, token: str | None) -> Column:
     """Gaps and hits of a text in order, as structs with byte offsets."""
-    gaps, hits = _gaps(text, d.regex), _hits(text, d.regex)
     values = F.flatten(
         F.zip_with(
-            gaps,
-            hits,
+            _gaps(text, d.regex),
+            _hits(text, d.regex),
             lambda gap, hit: F.array(
                 F.struct(gap.alias("source"), F.lit(False).alias("hit")),
                 F.struct(hit.alias("source"), hit.isNotNull().alias("hit")),
             ),
         )
     )
-    starts = running_starts(
-        F.transform(values, lambda v: F.coalesce(F.octet_length(v["source"]), F.lit(0)))
-    )
     ids = d.lookup("pattern_id")
     written = d.lookup("replacement")
 
@@ -139,10 +118,13 @@ def _pieces(text: Column, d: Dictionary, token: str | None) -> Column:
             F.when(v["hit"], ids[source]).alias("pattern_id"),
         )
 
-    return F.filter(
-        F.zip_with(values, starts, piece),
-        lambda p: p["end_byte"] > p["start_byte"],
-    )
+    def placed(values: Column) -> Column:
+        starts = running_starts(
+            F.transform(values, lambda v: F.coalesce(F.octet_length(v["source"]), F.lit(0)))
+        )
+        return F.zip_with(values, starts, piece)
+
+    return F.filter(let(values, placed), lambda p: p["end_byte"] > p["start_byte"])
 
 
 _MATCH_COLUMNS = ("match_no", "pattern_id", "start_byte", "end_byte")
@@ -150,10 +132,7 @@ _MATCH_COLUMNS = ("match_no", "pattern_id", "start_byte", "end_byte")
 
 def find_matches(df: DataFrame, keys: list[str], col: str, vault: Vault) -> DataFrame:
     """All matches: ``keys, match_no, pattern_id, start_byte, end_byte``."""
-    try:
-        d = as_dictionary(vault)
-    except DictionaryTooLarge:
-        return wide_dictionary.find_matches(df, keys, col, vault)
+    d = as_dictionary(vault)
     if d.regex is None:
         return df.where(F.lit(False)).select(
             *keys,
@@ -162,24 +141,30 @@ def find_matches(df: DataFrame, keys: list[str], col: str, vault: Vault) -> Data
             F.lit(0).cast("bigint").alias("start_byte"),
             F.lit(0).cast("bigint").alias("end_byte"),
         )
-    gaps, hits = _gaps(F.col(col), d.regex), _hits(F.col(col), d.regex)
-    hit_bytes = F.transform(hits, F.octet_length)
-    # A match starts after all gaps up to its own and all matches before it.
-    gap_starts = running_starts(F.transform(gaps, F.octet_length))
-    hit_starts = running_starts(hit_bytes)
     ids = d.lookup("pattern_id")
-    found = F.transform(
-        F.arrays_zip(
-            hits.alias("hit"),
-            F.slice(gap_starts, 2, F.size(hits)).alias("gap_end"),
-            hit_starts.alias("before"),
-        ),
-        lambda m: F.struct(
-            ids[m["hit"]].alias("pattern_id"),
-            (m["gap_end"] + m["before"]).alias("start_byte"),
-            (m["gap_end"] + m["before"] + F.octet_length(m["hit"])).alias("end_byte"),
-        ),
+
+    def placed(parts: Column) -> Column:
+        hits = parts["hits"]
+        # A match starts after all gaps up to its own and all matches before it.
+        gap_starts = running_starts(F.transform(parts["gaps"], F.octet_length))
+        hit_starts = running_starts(F.transform(hits, F.octet_length))
+        return F.transform(
+            F.arrays_zip(
+                hits.alias("hit"),
+                F.slice(gap_starts, 2, F.size(hits)).alias("gap_end"),
+                hit_starts.alias("before"),
+            ),
+            lambda m: F.struct(
+                ids[m["hit"]].alias("pattern_id"),
+                (m["gap_end"] + m["before"]).alias("start_byte"),
+                (m["gap_end"] + m["before"] + F.octet_length(m["hit"])).alias("end_byte"),
+            ),
+        )
+
+    parts = F.struct(
+        _gaps(F.col(col), d.regex).alias("gaps"), _hits(F.col(col), d.regex).alias("hits")
     )
+    found = let(parts, placed)
     with_hit = df.where(matches_any(F.col(col), d))
     return with_hit.select(*keys, F.posexplode(found).alias("match_no", "m")).select(
         *keys, "match_no", "m.*"

@@ -1,4 +1,7 @@
-"""Matching against a dictionary too large for one regular expression.
+"""Matching against a dictionary too large for the driver's memory.
+
+What is found depends on a text alone, so texts are matched once each, under their digest, and
+the rows take the result from there: null and repeated keys need no care.
 
 Every text position offers a short byte window to a hash join with the dictionary on the
 first bytes of the patterns. What the join finds are occurrences; overlapping ones are
@@ -78,7 +81,25 @@ def candidates(df: DataFrame, keys: list[str], col: str, vault: DataFrame) -> Da
     )
 
 
+_TEXT = ["_digest"]
+
+
+def _digest(col: str):
+    return F.sha2(F.encode(F.col(col), "UTF-8"), 256)
+
+
 def find_matches(df: DataFrame, keys: list[str], col: str, vault: DataFrame) -> DataFrame:
+    found = _text_matches(df, col, vault)
+    return df.select(*keys, _digest(col).alias("_digest")).join(found, _TEXT).drop("_digest")
+
+
+def _text_matches(df: DataFrame, col: str, vault: DataFrame) -> DataFrame:
+    texts = df.select(F.col(col).alias("_body"), _digest(col).alias("_digest"))
+    texts = texts.where(F.col("_body").isNotNull()).dropDuplicates(_TEXT)
+    return _matches(texts, _TEXT, "_body", vault)
+
+
+def _matches(df: DataFrame, keys: list[str], col: str, vault: DataFrame) -> DataFrame:
     by_end = Window.partitionBy(*keys).orderBy("end_byte", "start_byte")
     reach = F.max("end_byte").over(by_end.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("start_byte") < reach, 0).otherwise(1)
@@ -113,11 +134,11 @@ def find_matches(df: DataFrame, keys: list[str], col: str, vault: DataFrame) ->
     )
 
 
-def redact(df: DataFrame, keys: list[str], col: str, vault: DataFrame, out: str) -> DataFrame:
-    matches = find_matches(df, keys, col, vault).join(
+def redact(df: DataFrame, col: str, vault: DataFrame, out: str) -> DataFrame:
+    matches = _text_matches(df, col, vault).join(
         vault.select("pattern_id", "replacement"), "pattern_id"
     )
-    per_text = matches.groupBy(*keys).agg(
+    per_text = matches.groupBy(*_TEXT).agg(
         F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "replacement"))).alias("_m")
     )
     text = F.encode(F.col(col), "UTF-8")
@@ -134,7 +155,8 @@ def redact(df: DataFrame, keys: list[str], col: str, vault: DataFrame, out: str)
 
     rebuilt = F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")
     return (
-        df.join(per_text, keys, "left")
+        df.withColumn("_digest", _digest(col))
+        .join(per_text, _TEXT, "left")
         .withColumn(out, F.when(F.col("_m").isNull(), F.col(col)).otherwise(rebuilt))
-        .drop("_m")
+        .drop("_m", "_digest")
     )

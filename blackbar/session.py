@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +44,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a narrow intermediate table once to the shared checkpoint folder.
 
-    Used where a plan would otherwise compute it several times. A private folder serves
-    only sessions that name none (local runs).
+    Used where a plan would otherwise compute it several times. A private folder serves only
+    local sessions that name none; a cluster must name one that all executors share.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="blackbar-"))
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="blackbar-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

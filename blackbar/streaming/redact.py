@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from blackbar.functions.patterns import TOKEN, Dictionary, as_dictionary, suffix_regex
+from blackbar.functions.patterns import TOKEN, Dictionary, as_dictionary, match_regex, suffix_regex
 from blackbar.functions.utf8 import TRUNCATED
 from blackbar.operators.chunks import DEFAULT_CAPACITY
 
-EARLY_BYTES = 8 * 1024 * 1024
 IDLE_MS = 15_000
 RETAIN_MS = 3_600_000
 _BATCH_ROWS = 10_000
@@ -68,15 +67,15 @@ class StreamRules:
     longest: int
     token: bytes
     capacity: int
-    early_bytes: int
+    early_bytes: int | None
 
 
 def stream_rules(
-    words: list[bytes], token: bytes, capacity: int, early_bytes: int
+    words: list[bytes], token: bytes, capacity: int, early_bytes: int | None = None
 ) -> StreamRules:
     suffix = suffix_regex([w.decode("latin-1") for w in words])
     return StreamRules(
-        re.compile(b"|".join(map(re.escape, words))) if words else None,
+        re.compile(match_regex([w.decode("latin-1") for w in words]).encode("latin-1")) if words else None,
         # The end of the text is spelled differently in Java.
         re.compile(suffix[:-2].encode("latin-1") + rb"\Z") if suffix else None,
         max(map(len, words), default=0),
@@ -133,16 +132,23 @@ def advance(
     Chunks already taken are dropped, chunks ahead of their turn wait in the state, and
     chunks beyond the end of a stream are answered with ``late``.
     """
+
+
+    def ready() -> Iterator[tuple[int, bytes, str]]:
+        while state.status == "open" and state.next_seq in state.early:
+            chunk, eof = state.early.pop(state.next_seq)
+            sent = push(state, chunk, eof, rules)
+            yield state.next_seq, sent, state.status
+            state.next_seq += 1
+
     for seq, chunk, eof in arrivals:
         if seq >= state.next_seq:
             state.early.setdefault(seq, (chunk, eof))
-    while state.status == "open" and state.next_seq in state.early:
-        chunk, eof = state.early.pop(state.next_seq)
-        sent = push(state, chunk, eof, rules)
-        yield state.next_seq, sent, state.status
-        state.next_seq += 1
+            yield from ready()
+    yield from ready()
     if state.status == "open":
-        if sum(len(c) for c, _ in state.early.values()) > rules.early_bytes:
+        waiting = sum(len(c) for c, _ in state.early.values())
+        if rules.early_bytes is not None and waiting > rules.early_bytes:
             state.status, state.pending = "reorder_limit", b""
             yield state.next_seq, b"", state.status
     if state.status != "open":
@@ -160,13 +166,15 @@ def redact_stream(
     eof: str = "eof",
     token: str = TOKEN,
     capacity: int = DEFAULT_CAPACITY,
-    early_bytes: int = EARLY_BYTES,
+    early_bytes: int | None = None,
     idle_ms: int | None = IDLE_MS,
     retain_ms: int = RETAIN_MS,
 ) -> DataFrame:
     """``key, seq, redacted BINARY, status`` rows as they become safe to send.
 
-    ``seq`` counts from 0 without gaps; the ``eof`` row ends a stream. A stream without
+    ``seq`` counts from 0 without gaps; the ``eof`` row ends a stream. Chunks that come early
+    wait in the state; a caller who must bound it sets ``early_bytes``, beyond which a stream
+    ends with reorder_limit. A stream without
     new chunks for ``idle_ms`` is ended with idle_timeout and its pending bytes are not
     sent. An ended stream is remembered for ``retain_ms`` to recognise late chunks.
     ``idle_ms=None`` sets no timers: for runs over landed data with an ``availableNow``

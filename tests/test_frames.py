@@ -120,3 +120,24 @@ def test_pattern_cut_by_a_frame(spark):
     assert {k: "".join(v) for k, v in lanes.items()} == {
         (0, None): "my [REDACTED] é", (1, None): "word!ab", (0, 0): '{"a":"[REDACTED]"}',
     }
+
+
+def test_comments_and_other_fields_are_no_part_of_a_frame(spark):
+    body = ": ping\n\nevent: delta\nid: 7\ndata: {\"choices\":[]}\n\n: keep\ndata: {\"id\":\"a\"}\nretry: 5\n\ndata: [DONE]\n\n"
+    df = spark.createDataFrame([(1, body)], "k int, body string")
+    rows = FR.parse_sse_frames(df, ["k"], "body").orderBy("event_no").collect()
+    assert [(r.done, r.malformed) for r in rows] == [(False, False), (False, False), (True, False)]
+    assert rows[1].id == "a"
+
+
+def test_function_arguments_are_a_lane_of_their_own(spark):
+    def call(a, b):
+        return {"choices": [{"index": 0, "delta": {"tool_call": {"name": "f", "arguments": a, "function": {"name": "g", "arguments": b}}}}]}
+
+    df = spark.createDataFrame([(1, i, sse(call(a, b))) for i, (a, b) in enumerate([("pass", "sec"), ("word", "ret")])], "s int, seq int, body string")
+    rows = FR.explode_choices(FR.parse_sse_frames(df, ["s", "seq"], "body"), ["s", "seq", "event_no"])
+    whole = {r.tool_index: r.message for r in FR.assemble_messages(rows, ["s"], "seq").collect()}
+    assert whole == {0: "password", 1: "secret"}
+    vault = V.vault_from_lists(spark, ["password", "secret"])
+    out = FR.redact_by_choice(rows, ["s"], "seq", vault).orderBy("tool_index", "seq").collect()
+    assert ["".join(r.redacted for r in out if r.tool_index == t) for t in (0, 1)] == ["[REDACTED]"] * 2

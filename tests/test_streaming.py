@@ -134,3 +134,13 @@ def test_rate_stream(spark, tmp_path):
     batch = event_rate(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "15 minutes", ["event_type"])
     assert got.count() > 100
     assert got.exceptAll(batch).count() == 0
+
+
+def test_many_early_chunks_wait_without_a_limit():
+    chunk = b"x" * 100_000
+    state = S.StreamState()
+    free = rules([b"secret"], early_bytes=None)
+    assert list(S.advance(state, [(i, chunk, i == 200) for i in range(1, 201)], free)) == []
+    got = list(S.advance(state, [(0, b"sec", False)], free))
+    assert len(got) == 201 and got[-1][2] == "completed"
+    assert sum(len(r[1]) for r in got) == 200 * len(chunk) + 3

@@ -207,3 +207,27 @@ def test_audit_trail(spark):
     rows = Q.audit_trail(df, receipts, outcomes, ["n"]).orderBy("n").collect()
     assert (rows[0].outcome, rows[0].receipt) == ("completed", "r")
     assert rows[1].request_id != rows[2].request_id and rows[1].receipt is None
+
+
+def test_streams_without_an_end_are_open(spark):
+    chunks = spark.createDataFrame([(i, 0, at(1), b"x") for i in (1, 2, 3)], "stream_id int, seq int, ts timestamp, chunk binary")
+    streams = spark.createDataFrame(
+        [(1, at(0), at(2), "eof"), (2, at(0), None, None), (3, at(0), at(2), "read_error")],
+        "stream_id int, started timestamp, ended timestamp, end_reason string",
+    )
+    rows = S.stream_outcomes(chunks, streams, V.vault_from_lists(spark, ["secret"])).collect()
+    assert {r.stream_id: r.outcome for r in rows} == {1: "completed", 2: "open", 3: "read_error"}
+
+
+def test_error_bodies_show_no_part_of_a_match(spark):
+    text = "my password here, é password"
+    df = spark.createDataFrame([(1, i, text.encode()[i : i + 1]) for i in range(len(text.encode()))], "request_id int, seq int, chunk binary")
+    vault = V.vault_from_lists(spark, ["password"])
+    for limit in range(1, 30):
+        cut = text.encode()[:limit]
+        for begin in (3, 21):
+            if begin < limit < begin + 8:
+                cut = text.encode()[:begin] + b"password"
+        want = cut.replace(b"password", b"[REDACTED]")
+        got = S.error_body_prefix(df, limit, vault=vault).first().body
+        assert bytes(got) == want, limit

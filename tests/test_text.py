@@ -104,7 +104,7 @@ def test_random_dictionaries_agree_with_brute_force(spark):
             assert sorted(tuple(r) for r in plan.collect()) == expected
         wanted = [model.redact(patterns, s, replacement) for s in samples]
         assert column(T.redact_text(df, "t", d), "t") == wanted
-        assert column(wide_dictionary.redact(df, ["id"], "t", vault, "t"), "t") == wanted
+        assert column(wide_dictionary.redact(df, "t", vault, "t"), "t") == wanted
         constant = column(T.redact_constant(df, "t", d), "t")
         assert constant == [model.redact(patterns, s, TOKEN) for s in samples]
 
@@ -191,3 +191,60 @@ def test_counters(spark):
     assert rows == {(0, 2, 1, 3), (1, 2, 1, 1)}
     rows = {tuple(r) for r in T.pattern_counters(df, "t", vault, ["g"]).collect()}
     assert rows == {(0, 0, 2), (0, 1, 1), (1, 1, 1)}
+
+
+def test_large_dictionary_null_and_repeated_keys(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 7)))
+    patterns = list(dict.fromkeys(word() for _ in range(5000)))
+    replacement = [f"<{i}>" for i in range(len(patterns))]
+    texts_ = [" ".join(rng.choice(patterns) + rng.choice(["", "x"]) for _ in range(8)) for _ in range(6)]
+    rows = [(1, texts_[0]), (1, texts_[1]), (None, texts_[2]), (None, texts_[3]), (2, None), (3, texts_[4])]
+    df = spark.createDataFrame(rows, "id int, t string")
+    vault = V.vault_from_lists(spark, patterns, replacement)
+    wanted = sorted(str(t and model.redact(patterns, t, replacement)) for _, t in rows)
+    for plan in (T.redact_text(df, "t", vault), wide_dictionary.redact(df, "t", vault, "t")):
+        assert sorted(str(r.t) for r in plan.collect()) == wanted
+    constant = sorted(str(t and model.redact(patterns, t, TOKEN)) for _, t in rows)
+    assert sorted(str(r.t) for r in T.redact_constant(df, "t", vault).collect()) == constant
+    n = sum(len(model.find(patterns, t)) for _, t in rows if t)
+    assert T.find_matches(df, ["id"], "t", vault).count() == n
+    assert wide_dictionary.find_matches(df, ["id"], "t", vault).count() == n
+    counts = T.redaction_counters(df, "t", vault, ["id"]).collect()
+    assert sum(r.matches for r in counts) == n
+    kept = T.filter_matching(df, "t", vault).count()
+    assert kept + T.filter_matching(df, "t", vault, negate=True).count() == len(rows)
+
+
+def test_time_is_linear_in_the_text(spark):
+    import time
+
+    vault = V.vault_from_lists(spark, ["ab", "é"])
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        df = texts(spark, ["xab éyyyyyyyyyyyyyyy" * n])
+        began = time.time()
+        assert T.segment_text(df, ["id"], "t", vault).count() == 4 * n + 1
+        took.append(time.time() - began)
+    assert took[2] < 12 * took[1] + 2
+
+
+def test_long_patterns(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abc") for _ in range(8000))
+    patterns = [long, long[:5000] + "Z", "key", long[1:700] + "Y"]
+    vault = V.vault_from_lists(spark, patterns)
+    d = collect_dictionary(vault)
+    assert [e.pattern_id for e in d.live] == [0, 1, 2, 3]
+    samples = ["x" + long + "y", long[:7999], "q" + long[:4999], "a key", long[1:600], ""]
+    df = texts(spark, samples)
+    assert column(T.redact_constant(df, "t", d), "t") == [
+        "x" + TOKEN + "y", samples[1], samples[2], "a " + TOKEN, samples[4], ""
+    ]
+    pending = df.select("id", d.pending_bytes(F.col("t")).alias("n"))
+    words = [w[:k] for w in patterns for k in range(1, len(w))]
+    by_text = {w: len(w) for w in words}
+    expected = []
+    for s in samples:
+        expected.append(max((n for n in range(1, len(s) + 1) if s[len(s) - n :] in by_text), default=0))
+    assert [r.n for r in pending.orderBy("id").collect()] == expected
