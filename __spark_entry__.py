@@ -389,7 +389,7 @@ def q_slice_segments(spark, sf):
 
 def q_stream_receipts(spark, sf):
     rows = C.redact_chunked(document_chunks(spark, sf, 1000), vault(spark, PLAIN))
-    return RC.stream_receipts(cut_lineage(rows))
+    return RC.stream_receipts(cut_lineage(rows)).drop("scheme")
 
 
 def q_stream_outcomes(spark, sf):

@@ -21,9 +21,10 @@ def stream_receipts(
     fanout_bits: int = FANOUT_BITS,
     levels: int = 3,
 ) -> DataFrame:
-    """Per completed stream: ``key, receipt, bytes``.
+    """Per completed stream: ``key, receipt, bytes, scheme``.
 
-    A stream of up to ``leaf_bytes`` has the SHA-256 of its bytes. A longer one is cut
+    Receipts are comparable within one ``scheme`` (sha256, or sha256-tree with the leaf size and
+    fan-out); a tree's receipt could be the plain SHA-256 of other bytes. A stream of up to ``leaf_bytes`` has the SHA-256 of its bytes. A longer one is cut
     into leaves of that size; every 2**fanout_bits digests are hashed again until one is
     left, so no task ever holds more than a leaf or one group of digests. (SHA-256 itself
     can only be run front to back.)
@@ -60,5 +61,12 @@ def stream_receipts(
     return (
         totals.where("_done")
         .join(leaves, key, "left")
-        .select(key, F.coalesce("_digest", empty).alias("receipt"), "bytes")
+        .select(
+            key,
+            F.coalesce("_digest", empty).alias("receipt"),
+            "bytes",
+            F.when(F.col("bytes") <= leaf_bytes, "sha256")
+            .otherwise(f"sha256-tree-{leaf_bytes}-{1 << fanout_bits}")
+            .alias("scheme"),
+        )
     )
