@@ -61,7 +61,7 @@ def test_pieces_cover_every_document(docs, words):
 def test_descending_documents_go_to_the_cheapest_sequence():
     lengths = np.array([5, 9, 3, 3, 25])
     pieces = M.pack(lengths, 10, 1.0, 1.0)
-    assert [p for p in pieces if p[0] == 4] == [(4, 0, 10, 0, 0), (4, 10, 10, 1, 0), (4, 20, 5, 3, 0)] or True
+    assert [p for p in pieces if p[0] == 4][:2] == [(4, 0, 10, 0, 0), (4, 10, 10, 1, 0)]
     fill, cost = {}, {}
     rest = [p for p in pieces if p[3] >= 2]
     for d, _, n, s, at in rest:
