@@ -203,12 +203,19 @@ def _suffix(binary: Column, length: Column) -> Column:
 
 
 def _plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, eof: str | None) -> DataFrame:
-    return chunks.select(
-        key,
+    """One row per (key, seq), as chunks may be delivered twice; of different ones the least.
+
+    Chunks without a key or a number are refused: no stream could take them in order.
+    """
+    missing = F.col(key).isNull() | F.col(seq).isNull()
+    refused = F.raise_error(F.lit(f"a chunk has no {key} or no {seq}"))
+    rows = chunks.select(
+        F.when(missing, refused).otherwise(F.col(key)).alias(key),
         F.col(seq).cast("bigint").alias(seq),
         F.coalesce(F.col(chunk), F.expr(EMPTY)).alias(chunk),
         (F.coalesce(F.col(eof), F.lit(False)) if eof else F.lit(False)).alias("_eof"),
     )
+    return rows.groupBy(key, seq).agg(F.min(chunk).alias(chunk), F.bool_or("_eof").alias("_eof"))
 
 
 def chunk_status(
@@ -271,7 +278,8 @@ def redact_chunked(
     that can no longer become part of a match. Joined in order they are the redaction of
     the whole stream, wherever it was cut. A stream ends at its last chunk, or at its
     ``eof`` row if that column is named. A stream that turns out not to be UTF-8 has
-    output up to the failing chunk only; bytes still pending there are not sent.
+    output up to the failing chunk only; bytes still pending there are not sent. A chunk
+    delivered twice counts once; a null key or ``seq`` is an error.
     """
     d = as_dictionary(vault)
     size = max(d.live_bytes - 1, 3)

@@ -237,3 +237,22 @@ def test_running_sum_and_recut(spark):
         assert [pieces[(k, i)] for i in range(-(-len(whole) // 7))] == [
             whole[i:i + 7] for i in range(0, len(whole), 7)
         ]
+
+
+def test_chunks_delivered_twice_count_once(spark):
+    rows = [(1, i, t) for i, t in enumerate([b"my pass", b"word", b" ok th", b"e end"])] + [(2, 0, b"x")]
+    schema = "stream_id int, seq bigint, chunk binary"
+    once, twice = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + rows[:3], schema)
+    for patterns in (["password", "the"], ["password", "dog", "the", "example", "ord"]):
+        vault = V.vault_from_lists(spark, patterns)
+        want, got = (
+            sorted((r.stream_id, r.seq, bytes(r.redacted), r.status) for r in C.redact_chunked(df, vault).collect())
+            for df in (once, twice)
+        )
+        assert got == want and len(got) == len(rows)
+
+
+def test_chunks_without_a_key_are_refused(spark):
+    df = spark.createDataFrame([(1, 0, b"a"), (None, 0, b"b")], "stream_id int, seq bigint, chunk binary")
+    with pytest.raises(Exception, match="a chunk has no stream_id"):
+        C.redact_chunked(df, V.vault_from_lists(spark, ["a"])).collect()
