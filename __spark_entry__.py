@@ -31,7 +31,7 @@ from blackbar.streaming import redact as SR
 try:  # the training-data operators are an optional part
     import corpus_pipeline
     from blackbar.llm import registry as LLM
-except ModuleNotFoundError as error:
+except ImportError as error:
     if error.name not in ("corpus_pipeline", "blackbar.llm", "blackbar.llm.registry"):
         raise
     LLM = None
