@@ -55,16 +55,12 @@ def store(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, mb: int = 8) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Deal a table out over all cores if it comes in fewer parts than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def ascii_lower(data: bytes) -> bytes:
-    return data.lower()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values (the finaliser of SplitMix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -117,7 +113,6 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     changes. Steps aggregate minima per node, so a hub is combined before the shuffle; each
     result is written to the shared folder, so lineage stays short.
     """
-    spark = edges.sparkSession
     edges = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
@@ -143,12 +138,13 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     seen = None
     for _ in range(rounds):
-        # already stars: no node is both a child and a parent, and each child has one parent
         now = mark(pairs)
         if now == seen:
             break
         seen = now
         pairs = store(star(star(pairs, True), False), "links")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return found.union(roots)

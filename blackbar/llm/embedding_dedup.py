@@ -264,7 +264,6 @@ def embedding_groups(
     rows each counts as a vector and links with the others; rows of one id and vector are kept
     together. An empty table gives no rows. Only the two named columns are read.
     """
-    spark = vectors.sparkSession
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))

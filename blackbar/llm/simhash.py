@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blackbar.llm.common import connected, forest, spread, store
-from blackbar.llm.words import Words, by_bytes, ragged, rows_of
+from blackbar.llm.words import Words, ragged
 
 SHINGLE = 4
 DISTANCE = 4
@@ -54,7 +54,7 @@ def _fingerprint(shingle: int, seed: int):
         from blackbar.llm.simhash import fingerprints
         from blackbar.llm.words import by_bytes, rows_of
 
-        for keys, texts in by_bytes(rows_of(batches), 2_000_000):
+        for keys, texts in by_bytes(rows_of(batches), 600_000):
             found = fingerprints(texts, shingle, seed)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "bits"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blackbar.llm.common import mix64, spread, store
-from blackbar.llm.words import by_bytes, ragged, rows_of
+from blackbar.llm.words import ragged
 
 LENGTH = 200
 GRAM = 40
@@ -21,7 +21,7 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _PLACE_BITS = 31
-_SOLVE_BYTES = 1_000_000
+_SOLVE_BYTES = 400_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -179,7 +179,7 @@ def _anchor_rows(length: int, gram: int):
         from blackbar.llm.suffix_dedup import anchors
         from blackbar.llm.words import by_bytes, rows_of
 
-        for keys, texts in by_bytes(rows_of(batches), 2_000_000):
+        for keys, texts in by_bytes(rows_of(batches), 600_000):
             text, code, first, last = anchors([t.encode() for t in texts], length, gram)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(keys, np.int64)[text]), pa.array(code.view(np.int64)), pa.array(first), pa.array(last)],

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blackbar.llm.common import mix64, spread
-from blackbar.llm.words import ragged, rows_of
+from blackbar.llm.words import ragged
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 16

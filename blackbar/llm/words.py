@@ -58,7 +58,7 @@ class Words:
         return [self.data[a:b] for a, b in zip(self.start[places].tolist(), self.end[places].tolist())]
 
 
-def by_bytes(rows: Iterable[tuple[object, str | None]], most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def by_bytes(rows: Iterable[tuple[object, str | None]], most: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
     """Rows (key, text) in lists of about ``most`` bytes; a longer text is a list of its own."""
     keys: list = []
     texts: list[str] = []
