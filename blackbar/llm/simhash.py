@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blackbar.llm.common import connected, forest, spread, store
@@ -54,11 +54,13 @@ def _fingerprint(shingle: int, seed: int):
         from blackbar.llm.simhash import fingerprints
         from blackbar.llm.words import by_bytes, rows_of
 
-        for keys, texts in by_bytes(rows_of(batches), 600_000):
-            found = fingerprints(texts, shingle, seed)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "bits"]
-            )
+        kinds = {"doc_id": pa.int64(), "digest": pa.binary()}
+        for batch in batches:
+            names = batch.schema.names[1:]
+            for keys, texts in by_bytes(((keys, text) for text, *keys in rows_of([batch])), 600_000):
+                found = fingerprints(texts, shingle, seed)
+                columns = [pa.array(column, kinds[name]) for name, column in zip(names, zip(*keys))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], names=[*names, "bits"])
 
     return run
 
@@ -222,6 +224,16 @@ def link_fingerprints(codes: DataFrame, distance: int = DISTANCE, cell_limit: in
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linker(distance), "a bigint, b bigint")
 
 
+def _placed(found: DataFrame, low: Column, distance: int, cell_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Of fingerprinted rows (bits, component) of each fingerprint, and (component, low), the least ``low`` in each."""
+    codes = store(found.groupBy("bits").agg(F.min(low).alias("low")), "codes")
+    root = connected(link_fingerprints(codes.select("bits"), distance, cell_limit))
+    placed = codes.join(root, codes["bits"] == root["node"], "left").select(
+        "bits", "low", F.coalesce("component", "bits").alias("component")
+    )
+    return placed.drop("low"), store(placed.groupBy("component").agg(F.min("low").alias("low")), "lowest")
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -240,24 +252,36 @@ def simhash_groups(
     ids. Repeated rows are repeated in the result; an empty table gives no rows. Only the two
     named columns are read.
     """
-    rows = spread(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)))
+    rows = spread(docs.select(F.col(text_col), F.col(id_col).cast("bigint").alias("doc_id")))
     found = store(rows.mapInArrow(_fingerprint(shingle, seed), "doc_id bigint, bits bigint"), "fingerprints")
-    codes = store(found.groupBy("bits").agg(F.min("doc_id").alias("low")), "codes")
-    root = connected(link_fingerprints(codes.select("bits"), distance, cell_limit))
-    placed = codes.join(root, codes["bits"] == root["node"], "left").select(
-        "bits", "low", F.coalesce("component", "bits").alias("component")
-    )
-    lowest = store(placed.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
-    groups = store(placed.join(lowest, "component").select("bits", "component_id"), "groups")
+    placed, lowest = _placed(found, F.col("doc_id"), distance, cell_limit)
+    groups = store(placed.join(lowest, "component").select("bits", F.col("low").alias("component_id")), "groups")
     return found.join(groups, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    kept = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group stays: the first by id, nulls last, then by the SHA-256 of the text.
+
+    A row is its id and text, so rows without an id and unlike texts under one id stand for
+    themselves. Null texts count as empty; of rows with equal ids and texts one stays.
+    """
+    number = F.col("doc_id").cast("bigint")
+    digest = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    rows = spread(docs.select("text", number.alias("doc_id"), digest.alias("digest")))
+    found = store(
+        rows.mapInArrow(_fingerprint(SHINGLE, SEED), "doc_id bigint, digest binary, bits bigint"), "fingerprints"
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    _, first = _placed(found, order, DISTANCE, CELL_LIMIT)
+
+    def key(number: Column, digest: Column) -> Column:
+        return F.sha2(F.concat(digest, F.encode(F.coalesce(number.cast("string"), F.lit("")), "UTF-8")), 256)
+
+    kept = first.select(key(F.col("low.doc_id"), F.col("low.digest")).alias("_row"))
+    marked = docs.withColumn("_row", key(number, digest))
+    return marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

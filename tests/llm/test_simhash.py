@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -61,3 +62,28 @@ def test_stage_keeps_one_of_each_group(llm):
     df = llm.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = M.stage(llm, df, "")
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def _stage(llm, rows):
+    df = llm.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return sorted(((r.doc_id, r.text) for r in M.stage(llm, df, "").collect()), key=str)
+
+
+def test_stage_keeps_unlike_texts_without_ids(llm):
+    unlike = ["a b c d e", "k l m n o", "p q r s t"]
+    assert _stage(llm, [(None, t) for t in unlike] + [(None, unlike[0])]) == [(None, t) for t in unlike]
+    # a row without an id yields to one that has an id
+    assert _stage(llm, [(None, unlike[0]), (None, unlike[1]), (7, unlike[0])]) == [(7, unlike[0]), (None, unlike[1])]
+
+
+def test_stage_keeps_unlike_texts_of_one_id(llm):
+    unlike = ["a b c d e", "k l m n o"]
+    assert _stage(llm, [(1, t) for t in unlike] + [(2, unlike[0])]) == [(1, t) for t in unlike]
+
+
+def test_stage_picks_by_a_total_order(llm):
+    near = ["a b c d e", "A b c d e"]  # one fingerprint
+    first = min(near, key=lambda t: hashlib.sha256(t.encode()).digest())
+    for number in (1, None):
+        for rows in (near, near[::-1]):
+            assert _stage(llm, [(number, t) for t in rows]) == [(number, first)]
