@@ -14,7 +14,8 @@ from blackbar.llm.common import mix64, spread
 from blackbar.llm.words import Words, by_bytes, ragged
 
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
-WINDOW, STRIDE = 32, 24
+# Every start is scored; the network is fitted on windows TRAIN_STRIDE apart.
+WINDOW, STRIDE, TRAIN_STRIDE = 32, 1, 24
 THRESHOLD = 0.3
 # The training sample: so many labelled rows of each label, texts of at most so many characters.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 2000, 6000
@@ -22,6 +23,8 @@ EPOCHS = 6
 # A clean training text counts so many times as much as a toxic one.
 CLEAN_WEIGHT = 3.0
 _BATCH_WINDOWS = 2048
+# Starts that are scored together, and the words whose gate inputs are held for them.
+_STARTS, _SPAN = 1024, 16384
 
 # Bytes that separate words: all ASCII but letters and digits.
 _BREAK = bytes(
@@ -40,11 +43,8 @@ class Batch:
     text: np.ndarray  # of each window, its text
 
 
-def prepare(texts: list[str]) -> Batch:
-    """All windows of WINDOW words, STRIDE apart, the last one reaching the end of its text.
-
-    A text without words has one window without words.
-    """
+def features(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, each one's distinct word, and of these the word row, the gram rows and their number."""
     words = Words([b" " + t.lower().encode().translate(_BREAK) for t in texts])
     place, number = words.distinct()
     bucket = (words.hash[place] % np.uint64(WORD_ROWS)).astype(np.int64)
@@ -55,9 +55,18 @@ def prepare(texts: list[str]) -> Batch:
     # what follows a word's end is another word: grams end at the separator
     code = np.where(data[at + 1] == 0x20, code & np.uint64(0xFFFFFF00), code)
     gram = (mix64(code) % np.uint64(GRAM_ROWS)).astype(np.int64)
+    return words, number, bucket, gram, length
+
+
+def prepare(texts: list[str], stride: int = STRIDE) -> Batch:
+    """All windows of WINDOW words, ``stride`` apart, the last one reaching the end of its text.
+
+    A text without words has one window without words.
+    """
+    words, number, bucket, gram, length = features(texts)
     n = np.diff(words.first)
-    windows = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // STRIDE) + 1)
-    begin = np.repeat(words.first[:-1], windows) + STRIDE * ragged(np.zeros(len(n), np.int64), windows)
+    windows = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // stride) + 1)
+    begin = np.repeat(words.first[:-1], windows) + stride * ragged(np.zeros(len(n), np.int64), windows)
     stop = np.repeat(words.first[1:], windows)
     index = begin[:, None] + np.arange(WINDOW)[None, :]
     inside = index < stop[:, None]
@@ -92,11 +101,18 @@ class Network:
             x[:, DIM:] = sums / np.sqrt(grams)[:, None]
         return x
 
+    def gates(self, x: np.ndarray) -> list[np.ndarray]:
+        """Of each direction, what every word brings to the gates; the last row is of no word."""
+        none = np.zeros((1, 3 * HIDDEN), np.float32)
+        return [np.vstack([x @ self.wx[d] + self.wb[d], none]).astype(np.float32) for d in (0, 1)]
+
     def states(self, x: np.ndarray, index: np.ndarray, keep: list | None = None) -> np.ndarray:
+        return self.walk(self.gates(x), index, keep)
+
+    def walk(self, gates: list[np.ndarray], index: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States (WINDOW, windows, 2 * HIDDEN); behind a window's last word they do not change."""
         h, n = HIDDEN, len(index)
         out = np.zeros((WINDOW, n, 2 * h), np.float32)
-        gates = [np.vstack([x @ self.wx[d] + self.wb[d], np.zeros((1, 3 * h), np.float32)]).astype(np.float32) for d in (0, 1)]
         full = (index[:, -1] >= 0).all()
         columns = np.ascontiguousarray(index.T)
         for d in (0, 1):
@@ -131,13 +147,58 @@ class Network:
         return pooled @ self.out + self.outb[0], a, w, pooled
 
     def logits(self, batch: Batch) -> np.ndarray:
-        x = self.inputs(batch.bucket, batch.gram, batch.grams)
+        gates = self.gates(self.inputs(batch.bucket, batch.gram, batch.grams))
         out = np.zeros(len(batch.index), np.float32)
         short = batch.index[:, -1] < 0
         for part in (np.flatnonzero(~short), np.flatnonzero(short)):
             for i in range(0, len(part), _BATCH_WINDOWS):
                 some = batch.index[part[i : i + _BATCH_WINDOWS]]
-                out[part[i : i + _BATCH_WINDOWS]] = self.pool(self.states(x, some), some)[0]
+                out[part[i : i + _BATCH_WINDOWS]] = self.pool(self.walk(gates, some), some)[0]
+        return out
+
+    def every_start(self, gates: list[np.ndarray], number: np.ndarray) -> np.ndarray:
+        """Logits of the windows that start at each of these words and are full, as ``logits`` has them.
+
+        Words lie along the last axis, so the gate inputs of a step are a slice of those of all words.
+        With tanh(x / 2) for the sigmoids, halves are drawn into the weights.
+        """
+        h, total = HIDDEN, len(number) - WINDOW + 1
+        out = np.empty(max(total, 0), np.float32)
+        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(np.float32)
+        u = [np.ascontiguousarray(self.u[d].T * np.float32(0.5)) for d in (0, 1)]
+        read = np.ascontiguousarray(np.vstack([self.att.T, self.out[None]]))
+        for low in range(0, total, _SPAN):
+            some = number[low : low + _SPAN + WINDOW - 1]
+            inputs = [np.ascontiguousarray((g[some] * half).T) for g in gates]
+            for at in range(0, len(some) - WINDOW + 1, _STARTS):
+                n = min(_STARTS, len(some) - WINDOW + 1 - at)
+                states = np.empty((WINDOW, 2 * h, n), np.float32)
+                g, both, new, part = (np.empty((k * h, n), np.float32) for k in (3, 2, 1, 1))
+                for d in (0, 1):
+                    state = np.zeros((h, n), np.float32)
+                    for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                        x = inputs[d][:, at + t : at + t + n]
+                        np.matmul(u[d], state, out=g)
+                        np.add(g[: 2 * h], x[: 2 * h], out=both)
+                        np.tanh(both, out=both)
+                        np.multiply(both[:h], g[2 * h :], out=new)
+                        new += g[2 * h :]
+                        new += x[2 * h :]
+                        np.tanh(new, out=new)
+                        np.subtract(state, new, out=part)
+                        part *= np.float32(0.5)
+                        state = states[t, d * h : (d + 1) * h]
+                        np.multiply(both[h:], part, out=state)
+                        state += part
+                        state += new
+                seen = np.matmul(read, states)
+                a = seen[:, :h]
+                a += self.attb[:, None]
+                np.tanh(a, out=a)
+                e = np.matmul(self.attv, a)
+                e -= e.max(0)
+                np.exp(e, out=e)
+                out[low + at : low + at + n] = (e * seen[:, h]).sum(0) / e.sum(0) + self.outb[0]
         return out
 
     def gradients(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -190,7 +251,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         net.outb[:] = 4.0 if len(texts) and labels.max() else -4.0
         net.out[:] = 0
         return net
-    batch = prepare(texts)
+    batch = prepare(texts, TRAIN_STRIDE)
     r = np.random.default_rng(seed)
     owner = np.concatenate([[0], np.cumsum(batch.grams)])
     has = batch.index >= 0
@@ -260,10 +321,29 @@ def _adam_rows(p, rows, g, state, rate, step):
 
 
 def score_texts(net: Network, texts: list[str]) -> np.ndarray:
-    """The highest probability among all windows of each text."""
-    batch = prepare(texts)
+    """The highest probability among the windows that start at any word of each text.
+
+    Texts of fewer words than a window have one window, as ``prepare`` makes it.
+    """
+    words, number, bucket, gram, length = features(texts)
+    gates = net.gates(net.inputs(bucket, gram, length))
+    n = np.diff(words.first)
     best = np.full(len(texts), -np.inf)
-    np.maximum.at(best, batch.text, net.logits(batch))
+    full = np.flatnonzero(n >= WINDOW)
+    if len(full):
+        logit = net.every_start(gates, number)
+        at = words.first[full]
+        # between a text's last full window and the next text lie windows of two texts
+        ends = np.stack([at, at + n[full] - WINDOW + 1], axis=1).ravel()
+        best[full] = np.maximum.reduceat(np.append(logit, -np.inf), ends)[0::2]
+    short = np.flatnonzero(n < WINDOW)
+    place = words.first[short][:, None] + np.arange(WINDOW)
+    inside = np.arange(WINDOW) < n[short][:, None]
+    number = np.append(number, 0)
+    index = np.where(inside, number[np.minimum(place, len(number) - 1)], -1)
+    for i in range(0, len(short), _BATCH_WINDOWS):
+        some = index[i : i + _BATCH_WINDOWS]
+        best[short[i : i + _BATCH_WINDOWS]] = net.pool(net.walk(gates, some), some)[0]
     return 1 / (1 + np.exp(-best))
 
 
@@ -328,7 +408,8 @@ def toxicity(
     learned from; null and other labels are ignored, and a document labelled both ways counts
     as toxic. The network is fitted on the driver on a bounded sample: ``train_toxic`` and
     ``train_clean`` rows, texts of at most ``train_chars`` characters. It reads the text only.
-    A score is the highest over all overlapping windows of the whole text. Null and empty
+    A score is the highest over all windows of 32 words of the whole text, one from every word
+    that 31 words follow. Null and empty
     texts have one window without words. Rows are scored one by one, so repeated rows, ties
     and null ids (held_out false) need no rule; without labels all scores are equal and low.
     """

@@ -117,3 +117,39 @@ def test_stage_rejects_toxic_documents(llm):
     rejected = {r.doc_id for r in M.toxicity(docs, labels).collect() if r.predicted}
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows} - rejected
+
+
+def test_a_passage_is_rejected_at_every_offset():
+    # a network that scores a window by how many of its 32 words are the one bad word
+    net = M.Network(1)
+    bad = M.prepare(["vile"])
+    for k in net.NAMES:
+        getattr(net, k)[...] = 0
+    net.words[bad.bucket[0], 0] = 1
+    net.wx[:, 0, 2 * M.HIDDEN] = 20
+    net.wb[:, M.HIDDEN : 2 * M.HIDDEN] = -20
+    for length in range(10, 18):
+        # half of what the pooled states sum to between one bad word less and all of them
+        net.out[[0, M.HIDDEN]] = 50
+        net.outb[:] = -100 * (length - 0.5) / M.WINDOW
+        texts = []
+        for before in range(0, 100):
+            words = [f"w{k}" for k in range(150)]
+            words[before:before] = ["vile"] * length
+            texts.append(" ".join(words))
+        assert (M.score_texts(net, texts) >= M.THRESHOLD).all(), length
+        short = [t.replace("vile ", "", 1) for t in texts]
+        assert (M.score_texts(net, short) < M.THRESHOLD).all(), length
+
+
+def test_scores_equal_those_of_all_windows():
+    r = random.Random(3)
+    net = M.Network(5)
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(n)) for n in (0, 1, 31, 32, 33, 5, 64, 700, 0, 3000, 32, 40_000, 7)]
+    for some in (texts, texts[:3], texts[3:4], [""], [], texts[::-1]):
+        want = []
+        for t in some:
+            windows = M.prepare([t], 1)
+            assert len(windows.index) == max(1, len(t.split()) - 31)
+            want.append(1 / (1 + np.exp(-net.logits(windows).max())))
+        assert M.score_texts(net, some) == pytest.approx(want, abs=1e-5)
