@@ -218,6 +218,16 @@ def test_receipts_do_not_depend_on_the_cut(spark):
         }
 
 
+def test_receipts_follow_one_rule_at_every_length(spark):
+    rng = random.Random(10)
+    contents = {f"s{n}": rng.randbytes(n) for n in (0, 1, 2**20, 2**20 + 1, 3 * 2**20 + 5)}
+    wanted = {(k, hashlib.sha256(v).hexdigest(), len(v), "sha256") for k, v in contents.items()}
+    for step in (100_000, 2**21):
+        streams = {k: [v[i:i + step] for i in range(0, len(v), step)] or [b""] for k, v in contents.items()}
+        df = table(spark, streams).withColumnRenamed("chunk", "redacted")
+        assert {tuple(r) for r in R.stream_receipts(df, status=None).collect()} == wanted
+
+
 def test_running_sum_and_recut(spark):
     rng = random.Random(9)
     rows = [(k, s, rng.randint(0, 5)) for k in "ab" for s in sorted(rng.sample(range(5000), 300))]
