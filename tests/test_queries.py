@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as E
 import check
-from conftest import SF
+from model import SF
 
 # Those of the optional training-data operators have tests of their own.
 OPTIONAL = {*E.LLM.QUERIES, "pipeline"} if E.LLM else set()
