@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from blackbar.llm import (
     embedding_dedup,
     exact_dedup,
+    lexical_search,
     license_scan,
     packing,
     sentence_pieces,
     simhash,
+    source_mix,
+    spelling,
     suffix_dedup,
     suffix_tree,
     toxicity,
@@ -40,6 +43,13 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_sentence_pieces": _shipped(sentence_pieces.query),
+    "op11_lexical_search": _shipped(lexical_search.query),
+    "op12_source_mix": source_mix.query,
+    "op13_spelling": _shipped(spelling.query),
 }
 
-ORACLE = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {
+    "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op12_source_mix": source_mix.ORACLE,
+}
