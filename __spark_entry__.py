@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -32,8 +33,7 @@ try:  # the training-data operators are an optional part
     import corpus_pipeline
     from blackbar.llm import registry as LLM
 except ImportError as error:
-    if error.name not in ("corpus_pipeline", "blackbar.llm", "blackbar.llm.registry"):
-        raise
+    warnings.warn(f"queries of the training-data operators are not registered: {error}", stacklevel=1)
     LLM = None
 
 # Occurrences of these can never overlap ...
@@ -221,7 +221,11 @@ def choice_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_stream(spark: SparkSession, chunks: DataFrame, d: Dictionary) -> DataFrame:
     """Land chunks as files, redact them as a stream, and read the sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blackbar-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
+        base = tempfile.mkdtemp(prefix="blackbar-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     last = chunks.groupBy("stream_id").agg(F.max("seq").alias("_end"))
     landed = salted_join(chunks, last, ["stream_id"], "seq").withColumn("eof", F.col("seq") == F.col("_end")).drop("_end")
@@ -450,6 +454,30 @@ def q_parse_sse_frames(spark, sf):
     )
 
 
+def sse_chunks(spark: SparkSession, sf: str, size: int) -> DataFrame:
+    """The event-stream bodies of a conversation as one stream, cut every ``size`` bytes.
+
+    Every other body has lines that end in CR LF.
+    """
+    body = F.when(F.col("seq") % 2 == 1, F.replace("body", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("body"))
+    cut = C.slice_segments(
+        sse_bodies(spark, sf).select("conv_id", "seq", F.encode(body, "UTF-8").alias("_bytes")),
+        ["conv_id", "seq"], "_bytes", size,
+    )
+    return cut.select(
+        F.col("conv_id").alias("stream_id"),
+        (F.col("seq") * 1000 + F.col("piece_no")).alias("seq"),
+        F.col("bytes").alias("chunk"),
+    )
+
+
+def q_sse_events_from_chunks(spark, sf):
+    return FR.parse_sse_chunks(sse_chunks(spark, sf, 7)).select(
+        F.col("stream_id").alias("conv_id"), "event_no", "done", "malformed", "id", "created",
+        F.size("choices").alias("n_choices"), F.col("choices")[0]["delta"]["content"].alias("content"),
+    )
+
+
 def q_explode_choices(spark, sf):
     return choice_rows(spark, sf).select(
         "conv_id", "seq", "choice_no", "choice_index", "role", "content", "tool_name", "tool_arguments"

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 TOKEN = "[REDACTED]"
 
 # Longer patterns do not become nested groups, which regex engines compile by recursion.
-_NESTED = 300
+NESTED = 300
 # A map of more entries is parsed from one literal instead of being built entry by entry.
 _MAP_ENTRIES = 200
 # Stands between a text and a pattern; a Unicode noncharacter.
@@ -68,7 +68,7 @@ def _factored(words: list[str], depth: int = 0) -> str:
     parts = []
     for group in groups.values():
         shared = len(os.path.commonprefix([min(group), max(group)]))
-        if len(group) == 1 or depth >= _NESTED:
+        if len(group) == 1 or depth >= NESTED:
             parts += map(quote, group)
         else:
             rests = [w[shared:] for w in group]
@@ -189,7 +189,7 @@ class Dictionary:
 
 def pending_length(text: Column, words: list[str]) -> Column:
     """Length of the longest suffix of a text that is a proper prefix of a word."""
-    short, long = [w for w in words if len(w) <= _NESTED], [w for w in words if len(w) > _NESTED]
+    short, long = [w for w in words if len(w) <= NESTED], [w for w in words if len(w) > NESTED]
     found = [F.lit(0)]
 
     def tail(n: int) -> Column:

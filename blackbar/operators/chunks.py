@@ -218,6 +218,11 @@ def _plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, eof: str |
     return rows.groupBy(key, seq).agg(F.min(chunk).alias(chunk), F.bool_or("_eof").alias("_eof"))
 
 
+def plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str) -> DataFrame:
+    """``key, seq, chunk`` as every operator here takes them: each chunk once, none null."""
+    return _plain_chunks(chunks, key, seq, chunk, None).drop("_eof")
+
+
 def chunk_status(
     chunks: DataFrame, size: int, key: str, seq: str, chunk: str, eof: str | None
 ) -> DataFrame:

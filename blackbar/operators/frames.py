@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blackbar.functions.patterns import TOKEN
-from blackbar.operators.chunks import Vault, redact_chunked
-from blackbar.plans.ordered import recut
+from blackbar.functions.patterns import TOKEN, bytes_text, text_bytes
+from blackbar.operators.chunks import Vault, plain_chunks, redact_chunked
+from blackbar.plans.ordered import ordered_scan, recut, running_sum
 from blackbar.session import cut_lineage
 
 # The frame contract.
@@ -23,16 +23,107 @@ PIECE_CHARS = 1024 * 1024
 _CONTENT = -1  # tool_index of the content lane inside keys, where null is not allowed
 
 
+_BLANK = "(?:\\r?\\n){2,}"
+
+
+def _without_fields(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?m)^(?::|(?:event|id|retry)(?=:|$)).*(?:\r?\n|$)", "")
+
+
+def _payload(event: Column) -> Column:
+    return F.regexp_replace(event, "(?m)^data: ?", "")
+
+
 def split_sse(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Event-stream text -> one row per event: ``keys, event_no, frame`` without ``data: ``.
 
     Comment lines and the fields event, id and retry are not part of a frame; an event without
     any other line is none.
     """
-    clean = F.regexp_replace(F.col(col), r"(?m)^(?::|(?:event|id|retry)(?=:|$)).*(?:\r?\n|$)", "")
-    events = F.filter(F.split(clean, "(?:\\r?\\n){2,}"), lambda e: F.trim(e) != "")
-    payload = F.transform(events, lambda e: F.regexp_replace(e, "(?m)^data: ?", ""))
-    return df.select(*keys, F.posexplode(payload).alias("event_no", "frame"))
+    events = F.filter(F.split(_without_fields(F.col(col)), _BLANK), lambda e: F.trim(e) != "")
+    return df.select(*keys, F.posexplode(F.transform(events, _payload)).alias("event_no", "frame"))
+
+
+_LINES = "struct<head:binary,tail:binary,ends:bigint>"
+# Between a line feed that ends a blank line and what follows.
+_END = r"(?<=\n\r?\n)"
+
+
+def _line_ends(text: Column) -> Column:
+    """How many blank lines end in a text, its first line counting as begun before it."""
+    return F.regexp_count(text, F.lit(_END)).cast("bigint")
+
+
+def _joined_lines(a: Column, b: Column) -> Column:
+    """Two neighbouring stretches of a stream as one; a blank line may end at the seam."""
+    seam = bytes_text(F.concat(a["tail"], b["head"]))
+    at_seam = _line_ends(seam) - _line_ends(bytes_text(a["tail"])) - _line_ends(bytes_text(b["head"]))
+    return F.struct(
+        F.substring(F.concat(a["head"], b["head"]), 1, 2).alias("head"),
+        F.substring(F.concat(a["tail"], b["tail"]), -2, 2).alias("tail"),
+        (a["ends"] + b["ends"] + at_seam).alias("ends"),
+    )
+
+
+def split_sse_chunks(
+    chunks: DataFrame, key: str = "stream_id", seq: str = "seq", chunk: str = "chunk"
+) -> DataFrame:
+    """Event streams in chunks cut anywhere -> ``key, event_no, frame``, as ``split_sse`` of the whole.
+
+    A chunk needs to know the two bytes before it and how many blank lines ended there; both
+    come from one ordered scan over narrow rows. It is then cut behind its own blank lines, and
+    the parts of an event meet by (key, number), so only one event is ever joined in a task and
+    a stream is never gathered. Chunks delivered twice count once; a null key or ``seq`` is an
+    error, null chunks are empty. Bytes that are not UTF-8 become replacement characters.
+    Unlike in ``split_sse``, a stream of nothing but line ends has no event, and a first event
+    of comments alone leaves no line end before the next.
+    """
+    rows = plain_chunks(chunks, key, seq, chunk)
+    text = bytes_text(F.col(chunk))
+    seen = F.struct(
+        F.substring(chunk, 1, 2).alias("head"), F.substring(chunk, -2, 2).alias("tail"), _line_ends(text).alias("ends")
+    )
+    nothing = F.struct(
+        F.expr("X''").alias("head"), F.expr("X''").alias("tail"), F.lit(0).cast("bigint").alias("ends")
+    )
+    before = ordered_scan(rows, [key], seq, seen, _LINES, nothing, _joined_lines, "_before")
+    placed = rows.join(before, [key, seq])
+    context = bytes_text(F.col("_before.tail"))
+    parts = F.split(F.concat(context, text), _END, -1)
+    first = F.col("_before.ends") - _line_ends(context)
+    pieces = F.transform(
+        parts,
+        lambda part, no: F.struct(
+            (first + no).alias("_event"),
+            # what was seen before the chunk stands in front of the parts it reaches into
+            F.when(no == 0, F.substr(part, F.length(context) + 1)).otherwise(part).alias("_part"),
+        ),
+    )
+    events = (
+        placed.select(key, seq, F.inline(pieces))
+        .where(F.length("_part") > 0)
+        .groupBy(key, "_event")
+        .agg(F.expr(f"listagg(_part, '') WITHIN GROUP (ORDER BY `{seq}`)").alias("_text"))
+    )
+    whole = F.regexp_replace(text_bytes(F.col("_text")).cast("string"), _BLANK + r"\z", "")
+    frames = events.select(key, "_event", _without_fields(F.make_valid_utf8(whole)).alias("_text")).where(
+        "_text rlike '[^ \\\\r\\\\n]'"
+    )
+    frames = cut_lineage(frames)
+    return running_sum(frames, [key], "_event", F.lit(1), "event_no").select(
+        key, F.col("event_no").cast("bigint").alias("event_no"), _payload(F.col("_text")).alias("frame")
+    )
+
+
+def parse_sse_chunks(
+    chunks: DataFrame,
+    key: str = "stream_id",
+    seq: str = "seq",
+    chunk: str = "chunk",
+    default_index: int | None = None,
+) -> DataFrame:
+    """Chunks of event streams -> typed frames: ``key, event_no, frame, done, malformed, fields``."""
+    return decode_frames(split_sse_chunks(chunks, key, seq, chunk), "frame", default_index)
 
 
 def _kind(variant: Column, path: str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from blackbar.functions.patterns import TOKEN, Dictionary, as_dictionary, match_regex, suffix_regex
+from blackbar.functions.patterns import NESTED, TOKEN, Dictionary, as_dictionary, match_regex, suffix_regex
 from blackbar.functions.utf8 import TRUNCATED
 from blackbar.operators.chunks import DEFAULT_CAPACITY
 
@@ -64,6 +64,7 @@ class StreamRules:
 
     match: re.Pattern | None
     partial: re.Pattern | None
+    long: tuple[bytes, ...]
     longest: int
     token: bytes
     capacity: int
@@ -73,11 +74,12 @@ class StreamRules:
 def stream_rules(
     words: list[bytes], token: bytes, capacity: int, early_bytes: int | None = None
 ) -> StreamRules:
-    suffix = suffix_regex([w.decode("latin-1") for w in words])
+    suffix = suffix_regex([w.decode("latin-1") for w in words if len(w) <= NESTED])
     return StreamRules(
         re.compile(match_regex([w.decode("latin-1") for w in words]).encode("latin-1")) if words else None,
         # The end of the text is spelled differently in Java.
         re.compile(suffix[:-2].encode("latin-1") + rb"\Z") if suffix else None,
+        tuple(w for w in words if len(w) > NESTED),
         max(map(len, words), default=0),
         token,
         capacity,
@@ -93,6 +95,21 @@ def _cut_off(data: bytes) -> int:
     return 0
 
 
+_PROBE = 16
+
+
+def _begun(data: bytes, word: bytes) -> int:
+    """Length of the longest end of ``data`` that is a proper prefix of ``word``."""
+    data = data[-(len(word) - 1) :]
+    probe = word[:_PROBE]
+    at = data.find(probe)
+    while at >= 0:
+        if word.startswith(data[at:]):
+            return len(data) - at
+        at = data.find(probe, at + 1)
+    return next((n for n in range(min(_PROBE - 1, len(data)), 0, -1) if probe.startswith(data[-n:])), 0)
+
+
 def push(state: StreamState, chunk: bytes, eof: bool, rules: StreamRules) -> bytes:
     """Take the next chunk; returns what may be sent and sets the status."""
     source = state.pending + chunk
@@ -111,6 +128,8 @@ def push(state: StreamState, chunk: bytes, eof: bool, rules: StreamRules) -> byt
     if rules.partial is not None:
         m = rules.partial.search(source, max(last, len(source) - rules.longest + 1))
         held = max(held, len(m.group()) if m else 0)
+    for word in rules.long:
+        held = max(held, _begun(source[last:], word))
     if eof:
         state.status = "rejected_at_end" if tail else "completed"
         held = 0 if not tail else held

@@ -141,3 +141,32 @@ def test_function_arguments_are_a_lane_of_their_own(spark):
     vault = V.vault_from_lists(spark, ["password", "secret"])
     out = FR.redact_by_choice(rows, ["s"], "seq", vault).orderBy("tool_index", "seq").collect()
     assert ["".join(r.redacted for r in out if r.tool_index == t) for t in (0, 1)] == ["[REDACTED]"] * 2
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64])
+def test_events_that_chunks_cut_anywhere(spark, size):
+    bodies = [
+        "data: a\n\ndata: b\n\n",
+        "data: é1\r\n\r\n\r\n\r\ndata: 2\r\n: comment\r\ndata: 3\n\r\n\n\ndata: last\n",
+        "data: z\n\n:only\n\nevent: x\nid: 1\ndata: y\n\n   \n\n\n\n\ndata: \U0001f600\r\r\n\n",
+        "data: a\rb\n\rc\n\n\rdata: d",
+        "no end",
+        "",
+    ]
+    whole = spark.createDataFrame(list(enumerate(bodies)), "stream_id long, body string")
+    rows = [
+        (i, k // size, bytearray(b.encode()[k : k + size])) for i, b in enumerate(bodies) for k in range(0, len(b.encode()), size)
+    ]
+    cut = spark.createDataFrame(rows + rows[:5], "stream_id long, seq long, chunk binary")
+    want = FR.split_sse(whole, ["stream_id"], "body").collect()
+    got = FR.split_sse_chunks(cut).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_chunks_without_events(spark):
+    rows = [(1, 0, bytearray(b"\n\r")), (1, 1, bytearray(b"\n\n")), (2, 0, None), (3, 4, bytearray(b":c\n\n"))]
+    cut = spark.createDataFrame(rows, "stream_id long, seq long, chunk binary")
+    assert FR.split_sse_chunks(cut).collect() == []
+    assert FR.split_sse_chunks(cut.limit(0)).collect() == []
+    with pytest.raises(Exception, match="no stream_id"):
+        FR.split_sse_chunks(spark.createDataFrame([(None, 0, bytearray(b"x"))], cut.schema)).collect()

@@ -1,3 +1,4 @@
+import re
 import random
 import time
 
@@ -44,6 +45,20 @@ def test_step_agrees_with_the_model():
         assert [r for r in got if r[2] != "late"] == wanted
 
 
+def test_step_with_patterns_of_thousands_of_bytes():
+    word = "".join(chr(97 + k * k % 23) for k in range(8000))
+    near = word[:4000] + "!"
+    patterns = [word, near + "zz", "secret"]
+    text = ("a" * 50 + word + "secret" + near + "zz" + word[:7999] + near + "z" + word[:20]).encode()
+    whole = re.sub("|".join(map(re.escape, patterns)).encode(), b"[REDACTED]", text)
+    for size in (1, 333, 5000):
+        state, out = S.StreamState(), b""
+        limits = S.stream_rules([p.encode() for p in patterns], b"[REDACTED]", 1 << 16)
+        for at in range(0, len(text), size):
+            out += S.push(state, text[at : at + size], at + size >= len(text), limits)
+        assert out == whole and state.status == "completed"
+
+
 def test_limits_and_late_chunks():
     state = S.StreamState()
     assert list(S.advance(state, [(0, b"sensitiv", False)], rules([b"sensitive"], capacity=4))) == [
