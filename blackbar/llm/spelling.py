@@ -17,7 +17,9 @@ MIN_LENGTH, MIN_COUNT, DROP_EVERY, RATIO = 5, 3, 97, 2
 # Letters U+0041-U+00FF are dealt to this many groups by their code.
 GROUPS = 12
 # Words below one upper node of the trie that a task is given.
-NODE_WORDS = 20_000
+NODE_WORDS = 50_000
+# Rows searched at once, in whole nodes.
+BATCH_ROWS = 50_000
 # Queries searched at once, pairs verified at once, distinct words counted before they are sent on.
 QUERIES, PAIRS, HELD_WORDS = 2_048, 20_000, 200_000
 SPAN_BYTES = 1 << 20
@@ -100,16 +102,16 @@ def group_counts(words: list[bytes], groups: int = GROUPS) -> np.ndarray:
 
 
 class Trie:
-    """Words by the counts of group 0, then of group 1 and so on.
+    """Words by their group, then by the counts of letter group 0, of letter group 1 and so on.
 
     Of level k, ``keys[k]`` holds (parent node, count) of every node in one sorted number, and
-    a node's number is its place there. The words of leaf j are ``leaf[j]`` to ``leaf[j + 1]``
-    in the order ``order``.
+    a node's number is its place there; the roots are the groups. The words of leaf j are
+    ``leaf[j]`` to ``leaf[j + 1]`` in the order ``order``.
     """
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, group: np.ndarray):
         self.most = int(counts.max(initial=0)) + 2
-        node = np.zeros(len(counts), np.int64)
+        node = group.astype(np.int64)
         self.keys = []
         for k in range(counts.shape[1]):
             key, node = np.unique(node * self.most + counts[:, k], return_inverse=True)
@@ -117,14 +119,14 @@ class Trie:
         self.order = np.argsort(node, kind="stable")
         self.leaf = np.searchsorted(node[self.order], np.arange(len(self.keys[-1]) + 1))
 
-    def search(self, wanted: np.ndarray):
-        """Pairs (row of ``wanted``, word) whose counts differ by at most one up and one down.
+    def search(self, wanted: np.ndarray, group: np.ndarray):
+        """Pairs (row of ``wanted``, word of its group) whose counts differ by at most one up and one down.
 
         Depth first: a stack of frontiers, each of searches that stand at nodes of one level
         with what they have left of the surplus and the deficit; the deepest goes on first.
         """
         start = np.arange(len(wanted))
-        stack = [(0, start, np.zeros(len(start), np.int64), np.ones(len(start), bool), np.ones(len(start), bool))]
+        stack = [(0, start, group.astype(np.int64), np.ones(len(start), bool), np.ones(len(start), bool))]
         while stack:
             level, query, node, more, less = stack.pop()
             if level == len(self.keys):
@@ -191,58 +193,72 @@ class Verifier:
 
 
 def _near_words(groups: int):
-    def run(batches):
+    schema = [("word", "string"), ("n_near", "int64"), ("form_n", "int64"), ("form", "string")]
+
+    def settle(rows: list[tuple]):
         import pyarrow as pa
 
-        word, n, home = [], [], []
-        for row in rows_of(batches):
-            word.append(row[1].encode("latin-1"))
-            n.append(row[2])
-            home.append(row[3])
-        home = np.array(home, bool)
-        n = np.array(n, np.int64)
+        node, head, shorter, home, n = (np.array(c) for c in list(zip(*rows))[:5])
+        word = [r[5].encode("latin-1") for r in rows]
+        node = np.unique(node, return_inverse=True)[1]
         mine = np.flatnonzero(home)
-        names = ["word", "n_near", "form_n", "form"]
         if not len(mine):
-            return
+            return None
         counts = group_counts(word, groups)
-        trie, verify = Trie(counts[mine]), Verifier(word)
+        trie, verify = Trie(counts[mine], node[mine]), Verifier(word)
         # most frequent first, ties by code points: the first near word is the form
         rank = np.empty(len(word), np.int64)
-        rank[sorted(range(len(word)), key=lambda k: (-n[k], word[k]))] = np.arange(len(word))
+        by_rank = np.array(sorted(range(len(word)), key=lambda k: (-n[k], word[k])))
+        rank[by_rank] = np.arange(len(word))
         near = np.zeros(len(word), np.int64)
         best = np.full(len(word), len(word), np.int64)
-        by_rank = np.argsort(rank)
         for at in range(0, len(word), QUERIES):
-            for query, found in trie.search(counts[at : at + QUERIES]):
+            for query, found in trie.search(counts[at : at + QUERIES], node[at : at + QUERIES]):
                 for part in range(0, len(query), PAIRS):
                     a, b = query[part : part + PAIRS] + at, mine[found[part : part + PAIRS]]
+                    # pairs of two longer words belong to their own length
+                    good = np.minimum(verify.length[a], verify.length[b]) == shorter[a]
+                    a, b = a[good], b[good]
                     good = verify.near(a, b)
                     a, b = a[good], b[good]
+                    # pairs with one beginning have met under it, not only under their end
+                    half = (shorter[a] // 2).tolist()
+                    met = [word[x][:h] == word[y][:h] for x, y, h in zip(a.tolist(), b.tolist(), half)]
+                    good = head[a] | ~np.array(met, bool)
+                    a, b = a[good], b[good]
                     np.add.at(near, a, 1)
                     np.minimum.at(best, a, rank[b])
         some = np.flatnonzero(near)
         form = by_rank[best[some]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([word[k].decode("latin-1") for k in some.tolist()], pa.string()),
-                pa.array(near[some]),
-                pa.array(n[form]),
-                pa.array([word[k].decode("latin-1") for k in form.tolist()], pa.string()),
-            ],
-            names=names,
+        columns = [[word[k].decode("latin-1") for k in some.tolist()], near[some], n[form]]
+        columns.append([word[k].decode("latin-1") for k in form.tolist()])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[name for name, _ in schema]
         )
 
+    def run(batches):
+        held: list[tuple] = []
+        for row in rows_of(batches):
+            if len(held) >= BATCH_ROWS and row[0] != held[-1][0]:
+                done = settle(held)
+                if done is not None:
+                    yield done
+                held = []
+            held.append(row)
+        done = settle(held) if held else None
+        if done is not None:
+            yield done
+
     return run
 
 
 def _group_vector(groups: int):
-    """Native: the counts of the first letter groups of a word, as an array of tinyint-like ints."""
+    """How many letters of each group the column ``word`` has, as an array."""
     letters = F.transform(F.split("word", ""), lambda c: F.ascii(c) % groups)
     return F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.size(F.filter(letters, lambda x: x == g)))
 
 
-def _probes(depth: int) -> list[tuple[tuple[int, ...], bool]]:
+def _probes(depth: int) -> list[tuple[int, ...]]:
     """All changes of ``depth`` counts by at most one up and one down; the first is none."""
     changes = {(0,) * depth}
     for up in range(-1, depth):
@@ -256,31 +272,54 @@ def _probes(depth: int) -> list[tuple[tuple[int, ...], bool]]:
     return sorted(changes, key=lambda c: (any(c), c))
 
 
-def _depth(vectors: DataFrame, groups: int, node_words: int) -> int:
-    """The fewest upper levels below whose nodes at most ``node_words`` words lie (or all levels)."""
-    for depth in range(2, groups):
-        node = F.slice("vector", 1, depth)
-        if (vectors.groupBy(node.alias("node")).count().agg(F.max("count")).first()[0] or 0) <= node_words:
-            return depth
-    return groups
+def _halves(min_length: int):
+    """Where a word looks for near words: (head, shorter, half) for both halves and both lengths.
+
+    One edit leaves the first half or the rest of the shorter word of a pair as it is; a word
+    may be the shorter one, of its own length, or the longer one, of a length less.
+    """
+    length = F.length("word")
+
+    def of(shorter):
+        half = F.floor(shorter / 2).cast("int")
+        word = F.col("word")
+        return [
+            F.struct(F.lit(True).alias("head"), shorter.alias("shorter"), F.substr(word, F.lit(1), half).alias("half")),
+            F.struct(
+                F.lit(False).alias("head"), shorter.alias("shorter"),
+                F.substr(word, length - (shorter - half) + 1).alias("half"),
+            ),
+        ]
+
+    return F.filter(F.array(*of(length), *of(length - 1)), lambda h: h["shorter"] >= min_length)
 
 
-def near_words(words: DataFrame, groups: int = GROUPS, node_words: int = NODE_WORDS) -> DataFrame:
+def near_words(
+    words: DataFrame, min_length: int = MIN_LENGTH, groups: int = GROUPS, node_words: int = NODE_WORDS
+) -> DataFrame:
     """Of (word, n), those with a near word: word, n_near, form_n, form (the most frequent near word)."""
-    vectors = store(words.withColumn("vector", _group_vector(groups)), "vectors")
-    depth = _depth(vectors, groups, node_words)
+    vectors = words.select("word", "n", F.inline(_halves(min_length)), _group_vector(groups).alias("vector"))
+    vectors = store(vectors, "vectors")
+    depth = 0  # the fewest upper levels below whose nodes at most node_words words lie
+    while depth < groups:
+        node = [F.col(c) for c in ("head", "shorter", "half")] + [F.slice("vector", 1, depth).alias("upper")]
+        if (vectors.groupBy(*node).count().agg(F.max("count")).first()[0] or 0) <= node_words:
+            break
+        depth += 1
     upper = [F.element_at("vector", k + 1) for k in range(depth)]
     probes = F.array(*[
         F.struct(
-            F.array(*[u + c for u, c in zip(upper, change)]).alias("node"), F.lit(not any(change)).alias("home")
+            F.array(*[u + c for u, c in zip(upper, change)]).cast("array<int>").alias("upper"),
+            F.lit(not any(change)).alias("home"),
         )
         for change in _probes(depth)
     ])
-    sent = vectors.select("word", "n", F.inline(probes)).where("forall(node, c -> c >= 0)")
-    nodes = sent.where("home").select("node").distinct()
-    sent = sent.join(nodes, "node", "left_semi").select("node", "word", "n", "home")
-    found = sent.groupBy("node").applyInArrow(
-        _grouped(_near_words(groups)), "word string, n_near bigint, form_n bigint, form string"
+    sent = vectors.select("word", "n", "head", "shorter", "half", F.inline(probes)).where("forall(upper, c -> c >= 0)")
+    name = F.concat_ws(":", F.when(F.col("head"), "head").otherwise("end"), "shorter", "half", F.concat_ws(",", F.col("upper").cast("array<string>")))
+    found = (
+        sent.select(name.alias("node"), "head", "shorter", "home", "n", "word")
+        .repartition("node").sortWithinPartitions("node")
+        .mapInArrow(_near_words(groups), "word string, n_near bigint, form_n bigint, form string")
     )
     best = F.min(F.struct((-F.col("form_n")).alias("m"), "form"))
     return found.groupBy("word").agg(F.sum("n_near").cast("bigint").alias("n_near"), best.alias("best")).select(
@@ -288,17 +327,6 @@ def near_words(words: DataFrame, groups: int = GROUPS, node_words: int = NODE_WO
     )
 
 
-def _grouped(run):
-    def apply(table):
-        import pyarrow as pa
-
-        done = list(run(table.to_batches()))
-        schema = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("form_n", pa.int64()), ("form", pa.string())])
-        return pa.Table.from_batches(done, schema) if done else schema.empty_table()
-
-    return apply
-
-
 def roots(forms: DataFrame, rounds: int = 60) -> DataFrame:
     """The last word from (word, form) on, by doubling the stretch each round; forms have no cycle."""
     links = store(forms.select("word", F.col("form").alias("root")), "roots")
@@ -326,11 +354,12 @@ def spelling_variants(
 
     Runs of ``[A-Za-z\\u00C0-\\u00FF]`` are lower-cased (A-Z only) and lose a letter where the
     checksum of id and run is a multiple of ``drop_every``. Words of at least ``min_length``
-    letters and ``min_count`` occurrences go into a trie by the counts of their letter groups.
-    Its upper levels are keys of the shuffle, as many as it takes to have at most
-    ``node_words`` words below a node; every word visits the upper nodes that one surplus and
-    one deficit reach, and is searched depth first in what lies below. Leaf words are verified
-    and reduced to a count and the best one in the task, so no pairs are sent on.
+    letters and ``min_count`` occurrences are filed under each of their halves, one of which
+    an edit leaves alone; below a half they form a trie by the counts of their letter groups.
+    Halves are keys of the shuffle, and so are upper levels of the trie where more than
+    ``node_words`` words share a half: then every word visits the upper nodes that one surplus
+    and one deficit reach. It is searched depth first in what lies below. Leaf words are
+    verified and reduced to a count and the best one in the task, so no pairs are sent on.
 
     ``form`` is the most frequent near word (ties: first in code-point order) if it occurs at
     least ``ratio`` times as often, ``root`` the last word that forms lead to. Null texts have
@@ -339,10 +368,12 @@ def spelling_variants(
     spans, so they may be long; words may be as well. With ``groups`` upper levels a node's
     words are anagrams by group, which are then gathered whatever their number.
     """
+    if min_length < 2:
+        raise ValueError("min_length must be at least 2")
     if ratio < 2:
         raise ValueError("ratio must be at least 2")
     words = store(word_counts(docs, id_col, text_col, drop_every, min_length, min_count), "words")
-    near = store(near_words(words, groups, node_words), "near")
+    near = store(near_words(words, min_length, groups, node_words), "near")
     rows = words.join(near, "word", "left").withColumn(
         "form", F.when(F.col("form_n") >= ratio * F.col("n"), F.col("form"))
     )
