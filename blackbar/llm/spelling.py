@@ -198,6 +198,10 @@ def _near_words(groups: int):
     def settle(rows: list[tuple]):
         import pyarrow as pa
 
+        alone = Counter(r[0] for r in rows)
+        rows = [r for r in rows if alone[r[0]] > 1]
+        if not rows:
+            return None
         node, head, shorter, home, n = (np.array(c) for c in list(zip(*rows))[:5])
         word = [r[5].encode("latin-1") for r in rows]
         node = np.unique(node, return_inverse=True)[1]
@@ -298,11 +302,13 @@ def near_words(
     words: DataFrame, min_length: int = MIN_LENGTH, groups: int = GROUPS, node_words: int = NODE_WORDS
 ) -> DataFrame:
     """Of (word, n), those with a near word: word, n_near, form_n, form (the most frequent near word)."""
-    vectors = words.select("word", "n", F.inline(_halves(min_length)), _group_vector(groups).alias("vector"))
-    vectors = store(vectors, "vectors")
+    halves = store(words.select("word", "n", F.inline(_halves(min_length))), "halves")
+    vectors = halves.withColumn("vector", _group_vector(groups))
     depth = 0  # the fewest upper levels below whose nodes at most node_words words lie
     while depth < groups:
-        node = [F.col(c) for c in ("head", "shorter", "half")] + [F.slice("vector", 1, depth).alias("upper")]
+        node = [F.col(c) for c in ("head", "shorter", "half")]
+        if depth:
+            node.append(F.slice("vector", 1, depth).alias("upper"))
         if (vectors.groupBy(*node).count().agg(F.max("count")).first()[0] or 0) <= node_words:
             break
         depth += 1
