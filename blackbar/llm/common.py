@@ -61,6 +61,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values (the finaliser of SplitMix64)."""
     x = x.astype(np.uint64, copy=True)

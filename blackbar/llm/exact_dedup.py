@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blackbar.llm.common import store
+from blackbar.llm.common import own_name, store
 
 ROWS_PER_SALT = 256
 
@@ -66,14 +66,16 @@ def exact_dedup(
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, one row per id and text."""
-    kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumn("text_sha256", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    return (
-        keyed.join(kept.withColumnRenamed("doc_id", "kept_id"), [
-            keyed["text_sha256"] == kept["text_sha256"], keyed["doc_id"].eqNullSafe(F.col("kept_id"))
-        ], "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    )
+    """The documents that stay, one row per id and text.
+
+    Null texts count as empty. Of equal texts the row with the largest id stays, one without an
+    id only if none has one; extra columns may have any name and are kept as they are.
+    """
+    sha = own_name(docs, "sha")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct()
+    keyed = docs.withColumn(sha, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).alias("d")
+    same = (F.col(f"d.{sha}") == F.col("k.digest")) & F.col("d.doc_id").eqNullSafe(F.col("k.id"))
+    return keyed.join(kept.alias("k"), same, "left_semi").dropDuplicates(["doc_id", sha]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

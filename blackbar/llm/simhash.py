@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blackbar.llm.common import connected, forest, spread, store
+from blackbar.llm.common import connected, forest, own_name, spread, store
 from blackbar.llm.words import Words, ragged
 
 SHINGLE = 4
@@ -279,9 +279,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def key(number: Column, digest: Column) -> Column:
         return F.sha2(F.concat(digest, F.encode(F.coalesce(number.cast("string"), F.lit("")), "UTF-8")), 256)
 
-    kept = first.select(key(F.col("low.doc_id"), F.col("low.digest")).alias("_row"))
-    marked = docs.withColumn("_row", key(number, digest))
-    return marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    row = own_name(docs, "row")
+    kept = first.select(key(F.col("low.doc_id"), F.col("low.digest")).alias(row))
+    marked = docs.withColumn(row, key(number, digest))
+    return marked.join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blackbar.llm.common import mix64, spread
+from blackbar.llm.common import mix64, own_name, spread
 from blackbar.llm.words import Words, by_bytes, ragged
 
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 15, 1 << 15, 8, 8
@@ -347,7 +347,7 @@ def score_texts(net: Network, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-best))
 
 
-def _scorer(net: Network, text_at: int):
+def _scorer(net: Network, text_at: int, name: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -356,15 +356,15 @@ def _scorer(net: Network, text_at: int):
                 some = batch.slice(at, 256)
                 texts = enumerate(some.column(text_at).to_pylist())
                 score = np.concatenate([score_texts(net, t) for _, t in by_bytes(texts, 1_000_000)])
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(score)], names=[*some.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(score)], names=[*some.schema.names, name])
 
     return run
 
 
 def with_score(rows: DataFrame, text_col: str, net: Network) -> DataFrame:
-    """The rows with a column ``_score``; every text is scored where it is read."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])
-    return spread(rows).mapInArrow(_scorer(net, rows.columns.index(text_col)), schema)
+    """The rows with a score as their last column; every text is scored where it is read."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(own_name(rows, "score"), T.DoubleType())])
+    return spread(rows).mapInArrow(_scorer(net, rows.columns.index(text_col), schema.names[-1]), schema)
 
 
 def crc_of(column) -> F.col:
@@ -418,17 +418,20 @@ def toxicity(
     return with_score(own, "text", net).select(
         "doc_id",
         F.coalesce(crc_of(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= threshold).cast("int").alias("predicted"),
+        F.col("score"),
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not rejected."""
+    """The documents that are not rejected, with all their columns, whatever their names.
+
+    Null texts are scored as empty ones; repeated rows and rows without an id are judged like any other.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     own = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
     net = fitted(own, labels, TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, EPOCHS)
-    return with_score(docs, "text", net).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    return with_score(docs, "text", net).where(F.col(own_name(docs, "score")) < THRESHOLD).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
