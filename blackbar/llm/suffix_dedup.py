@@ -9,13 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blackbar.llm.common import mix64, spread, store
+from blackbar.llm.common import mix64, own_name, spread, store
 from blackbar.llm.words import ragged
 
 LENGTH = 200
 GRAM = 40
-# The strings of an anchor seen more often than this are not gathered (up to here they are at
-# most 20,000 times 360 bytes, 7 MB) but counted over all tasks.
+# Different strings of one anchor that a task gathers, at most 360 bytes each (7 MB); those of
+# an anchor with more are counted over all tasks.
 HOT_ANCHOR = 20_000
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _R = 0x9E3779B97F4A7C15
@@ -193,8 +193,8 @@ def _cut_strings(length: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["head", "body", "anchor", "hot", "first", "piece"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+        names = ["head", "body", "anchor", "firsts", "piece"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         rows: list[tuple] = []
 
         def flush():
@@ -205,15 +205,17 @@ def _cut_strings(length: int):
         for batch in batches:
             head, body, text, runs = batch.columns
             offsets = runs.offsets.to_numpy()
-            anchor, hot, first, last = (c.to_numpy(zero_copy_only=False) for c in runs.flatten().flatten())
+            anchor, first, last = (c.to_numpy(zero_copy_only=False) for c in runs.flatten().flatten())
             offsets = offsets - offsets[0]
             for i in range(batch.num_rows):
                 data = text[i].as_py().encode()
                 h, b = head[i].as_py(), body[i].as_py()
+                places: dict[tuple[int, bytes], list[int]] = {}
                 for j in range(offsets[i], offsets[i + 1]):
                     piece = data[first[j] : last[j] + length]
                     if len(piece) >= length:
-                        rows.append((h, b, anchor[j], hot[j], first[j], piece))
+                        places.setdefault((anchor[j], piece), []).append(first[j])
+                rows.extend((h, b, a, at, piece) for (a, piece), at in places.items())
                 if len(rows) >= 2000:
                     yield flush()
         if rows:
@@ -259,9 +261,16 @@ def _solve(length: int):
             which = np.concatenate([owner[edge], whole])
             a = np.concatenate([start[edge], np.zeros(len(whole), np.int64)])
             b = np.concatenate([stop, np.array([len(now[i][1]) - length for i in whole.tolist()], np.int64)])
+            by = np.argsort(which, kind="stable")
+            which, begin = np.unique(which[by], return_index=True)
+            spans = pa.StructArray.from_arrays([pa.array(a[by]), pa.array(b[by])], names=["from", "to"])
             return pa.RecordBatch.from_arrays(
-                [pa.array(anchor[which]), pa.array([now[i][3] for i in which.tolist()], pa.int64()), pa.array(a), pa.array(b)],
-                names=["anchor", "piece_key", "from", "to"],
+                [
+                    pa.array(anchor[which]),
+                    pa.array([now[i][3] for i in which.tolist()], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.append(begin, len(by)), pa.int32()), spans),
+                ],
+                names=["anchor", "piece_key", "spans"],
             )
 
         for batch in batches:
@@ -323,21 +332,20 @@ def repeated_runs(rows: DataFrame, heads: DataFrame, length: int, gram: int, hot
     1. Every string of ``length`` bytes is filed under its anchor; anchors that only one place
        has are dropped. This moves a few bytes per anchor, not the text.
     2. Of each text, one copy is read again and cut to the strings filed under other anchors;
-       equal cuts become one row with a count.
+       equal cuts of a text are one row with their places, equal cuts of all texts one with a count.
     3. Cuts of one anchor are searched for common prefixes of ``length`` bytes by interval
-       expansion. Anchors seen more than ``hot_anchor`` times are not gathered: their strings
-       are counted by digest, combined before the shuffle.
+       expansion. Where an anchor has more than ``hot_anchor`` different cuts they are not
+       gathered: their strings are counted by digest, combined before the shuffle.
+    4. A cut with repeats is one row with all its repeats, which goes back to the texts that hold it.
     """
     pairs = spread(rows.select(F.xxhash64("sha").alias("body"), "body_text"))
     found = pairs.mapInArrow(_anchor_rows(length, gram), "body bigint, anchor bigint, first bigint, last bigint")
     mark = F.xxhash64("body", "first")
     often = store(
-        found.groupBy("anchor").agg(
-            F.min(mark).alias("low"), F.max(mark).alias("high"), F.count(F.lit(1)).alias("n")
-        ).where("low <> high").select("anchor", (F.col("n") > hot_anchor).alias("hot")),
+        found.groupBy("anchor").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("anchor"),
         "anchors",
     )
-    run = F.struct("anchor", "hot", F.col("first"), F.col("last"))
+    run = F.struct("anchor", "first", "last")
     runs = found.join(often.hint("merge"), "anchor").groupBy("body").agg(F.collect_set(run).alias("runs"))
     by_head = store(runs.join(heads.withColumn("body", F.xxhash64("sha")).hint("merge"), "body").select("sha", "head", "runs"), "runs")
     # a text has two numbers of its own here: its id and a hash
@@ -345,34 +353,58 @@ def repeated_runs(rows: DataFrame, heads: DataFrame, length: int, gram: int, hot
         F.coalesce("head", F.lit(0)).alias("head"), F.xxhash64("sha").alias("body"), "body_text", "runs"
     )
     pieces = store(
-        at_head.mapInArrow(_cut_strings(length), "head bigint, body bigint, anchor bigint, hot boolean, first bigint, piece binary")
+        at_head.mapInArrow(_cut_strings(length), "head bigint, body bigint, anchor bigint, firsts array<bigint>, piece binary")
         .withColumn("piece_key", F.xxhash64("piece")),
         "pieces",
     )
+    # by the number of different cuts, however often each comes; only keys are moved for it
+    keys = pieces.select("anchor", "piece_key").distinct()
+    hot = store(keys.groupBy("anchor").count().where(F.col("count") > hot_anchor).select("anchor"), "hot")
+    if hot.isEmpty():
+        solved = _solved(_merged(pieces), length)
+    else:
+        few, many = (pieces.join(hot.hint("merge"), "anchor", how) for how in ("left_anti", "left_semi"))
+        solved = _solved(_merged(few), length).unionByName(_counted(_merged(many), length))
+    solved = store(solved, "solved")
+    hits = pieces.select("head", "body", "anchor", "firsts", "piece_key").join(solved.hint("merge"), ["anchor", "piece_key"])
+    covered = F.flatten(F.transform("firsts", lambda first: F.transform(
+        "spans", lambda s: F.struct((first + s["from"]).alias("from"), (first + s["to"] + length).alias("to"))
+    )))
+    return hits.groupBy("head", "body").agg(F.flatten(F.collect_set(covered)).alias("runs"))
+
+
+def _merged(pieces: DataFrame) -> DataFrame:
+    """Each cut once, with how often it stands anywhere."""
     # equal rows are read several times here; they only repeat strings of texts that go anyway
-    once = pieces.groupBy("anchor", "hot", "piece_key", "piece").agg(F.count(F.lit(1)).alias("n"))
-    common = once.where("not hot").select("anchor", "piece", "n", "piece_key")
-    solved = common.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        _solve(length), "anchor bigint, piece_key bigint, from bigint, to bigint"
+    n = F.sum(F.size("firsts")).cast("bigint").alias("n")
+    return pieces.groupBy("anchor", "piece_key", "piece").agg(n).select("anchor", "piece", "n", "piece_key")
+
+
+def _solved(once: DataFrame, length: int) -> DataFrame:
+    """Cuts with repeats and the first and last starts of each stretch, by interval expansion."""
+    return once.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+        _solve(length), "anchor bigint, piece_key bigint, spans array<struct<from: bigint, to: bigint>>"
     )
-    starts = once.where("hot").select(
+
+
+def _counted(once: DataFrame, length: int) -> DataFrame:
+    """The same as ``_solved`` where an anchor has too many cuts for one task."""
+    starts = once.select(
         "anchor", "n", "piece_key", "piece",
         F.explode(F.sequence(F.lit(0), F.octet_length("piece") - length)).alias("from"),
     ).select(
-        "anchor", "n", "piece_key", "from",
+        "anchor", "n", "piece_key", F.col("from").cast("bigint"),
         F.sha2(F.expr(f"substring(piece, from + 1, {length})"), 256).alias("string"),
     )
     many = store(starts.groupBy("anchor", "string").agg(F.sum("n").alias("total")).where("total > 1"), "strings")
-    counted = starts.join(many.hint("merge"), ["anchor", "string"]).select(
-        "anchor", "piece_key", F.col("from").cast("bigint"), F.col("from").cast("bigint").alias("to")
-    )
-    both = store(solved.union(counted), "solved")
-    hits = pieces.select("head", "body", "anchor", "first", "piece_key").join(both.hint("merge"), ["anchor", "piece_key"])
-    return hits.groupBy("head", "body").agg(
-        F.collect_set(
-            F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + length).alias("to"))
-        ).alias("runs")
+    # a cut has at most as many starts as a string has grams
+    found = starts.join(many.hint("merge"), ["anchor", "string"]).groupBy("anchor", "piece_key").agg(
+        F.array_sort(F.collect_set("from")).alias("at")
     )
+    return found.select("anchor", "piece_key", F.arrays_zip(
+        F.filter("at", lambda x: ~F.array_contains("at", x - 1)).alias("from"),
+        F.filter("at", lambda x: ~F.array_contains("at", x + 1)).alias("to"),
+    ).alias("spans"))
 
 
 def _at_head(rows: DataFrame, by_head: DataFrame) -> DataFrame:
@@ -434,11 +466,12 @@ def removed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     length = options.get("length", LENGTH)
     cut, copies = cut_texts(docs, id_col, text_col, **options)
     mark = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
-    joined = docs.withColumn("_sha", mark).join(
-        cut.select(F.col("sha").alias("_sha"), F.col("kept_text").alias("_kept")).hint("merge"), "_sha", "left"
-    ).join(copies.select(F.col("sha").alias("_sha"), F.col("copies").alias("_copies")).hint("merge"), "_sha", "left")
-    gone = (F.col("_copies") > 1) & (F.octet_length(text_col) >= length)
-    text = F.when(gone, "").otherwise(F.coalesce("_kept", F.col(text_col)))
+    sha, kept, times = (own_name(docs, c) for c in ("sha", "kept", "copies"))
+    joined = docs.withColumn(sha, mark).join(
+        cut.select(F.col("sha").alias(sha), F.col("kept_text").alias(kept)).hint("merge"), sha, "left"
+    ).join(copies.select(F.col("sha").alias(sha), F.col("copies").alias(times)).hint("merge"), sha, "left")
+    gone = (F.col(times) > 1) & (F.octet_length(text_col) >= length)
+    text = F.when(gone, "").otherwise(F.coalesce(kept, F.col(text_col)))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -94,3 +94,34 @@ def test_stage_keeps_all_documents(llm):
     assert out.columns == df.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: ("one ", 4), 2: (" two", 4), 3: (None, None), 4: ("clean", 5)}
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_common_passages_and_repeated_lines_stay_one_row(docs, llm, hot):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, line = word(240), word(60) + "\n"
+    rows = [(i, word(90) + passage + word(80)) for i in range(60)] + [(100 + i, word(50) + line * 30) for i in range(20)]
+    df = docs(rows)
+    assert found(M.suffix_dedup(df, length=48, gram=12, hot_anchor=hot)) == model(rows, 48)
+    strings = M._merged(
+        llm.createDataFrame(
+            [(1, [0, 9], 7, b"x" * 60), (1, [4], 8, b"y" * 9 + b"x" * 50), (1, [2], 9, b"z" * 50)],
+            "anchor bigint, firsts array<bigint>, piece_key bigint, piece binary",
+        )
+    )
+    for way in (M._solved, M._counted):
+        got = {x.piece_key: [(s["from"], s["to"]) for s in x.spans] for x in way(strings, 48).collect()}
+        merged = {k: sorted(v) for k, v in got.items()}
+        # the first stands twice, its strings of x come back in the second, the third repeats in itself
+        assert merged == {7: [(0, 12)], 8: [(9, 11)], 9: [(0, 2)]}
+
+
+def test_stage_leaves_columns_of_any_name(llm):
+    rows = [(1, "q" * 250, "mine", "too", 3, "four", 9), (2, "a " + "q" * 250, "mine", "too", 3, "four", 9)]
+    df = llm.createDataFrame(
+        rows, "doc_id bigint, text string, _sha string, sha string, copies int, Kept string, n_chars bigint"
+    )
+    out = M.stage(llm, df, "").collect()
+    assert {r.text for r in out} == {"", "a "}
+    assert {(r["_sha"], r.sha, r.copies, r.Kept) for r in out} == {("mine", "too", 3, "four")}
