@@ -19,7 +19,8 @@ def exact_dedup(
     candidates together: every merge groups by the digest *and the text*.
 
     1. digests are counted (combined within each task before the shuffle); a text whose digest
-       is unique is its own group and its content is never moved again;
+       is unique is its own group. The join that picks the others moves every text once, by
+       digest alone: adaptive execution splits what a frequent text makes large there;
     2. rows of repeated digests get ``n / rows_per_salt`` salts, are combined within each task
        and merged per (digest, salt, text);
     3. the salt winners are merged per (digest, text), and every row looks up its winner by
