@@ -91,7 +91,9 @@ def live_patterns(vault: DataFrame) -> DataFrame:
 
     Pattern p is shadowed if another pattern occurs in it and ends before its end. Each
     pattern offers its substrings that end early to a hash join with the dictionary, so
-    the work grows with the pattern lengths and not with the square of their number.
+    the work grows with the pattern lengths and not with the square of their number. The
+    dictionary is never broadcast: estimates of its size know neither the compression of
+    its files nor the substrings.
     """
     others = [c for c in vault.columns if c not in ("pattern_id", "pattern")]
     first = F.min(F.struct("pattern_id", *others)).alias("_first")
@@ -112,8 +114,10 @@ def live_patterns(vault: DataFrame) -> DataFrame:
         "pattern_id", F.explode(F.array_distinct(early_ending)).alias("pattern")
     )
     shadowed = (
-        salted_join(inner, distinct.select("pattern"), ["pattern"], "pattern_id", "left_semi")
+        salted_join(
+            inner, distinct.select("pattern").hint("merge"), ["pattern"], "pattern_id", "left_semi"
+        )
         .select("pattern_id")
         .distinct()
     )
-    return distinct.join(shadowed, "pattern_id", "left_anti")
+    return distinct.join(shadowed.hint("merge"), "pattern_id", "left_anti")

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _broadcast_bytes(df: DataFrame) -> int:
+    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def salted_join(
     rows: DataFrame,
     facts: DataFrame,
@@ -20,10 +28,13 @@ def salted_join(
 
     Rows of a key are split over ``salts`` shuffle keys by a hash of ``spread``; the facts,
     one narrow row per key, are repeated once per salt. When the facts turn out small at
-    run time, adaptive execution replaces the shuffle by a broadcast.
+    run time, adaptive execution replaces the shuffle by a broadcast. Spark's own estimate
+    takes the repeated facts to be as small as the facts, so larger ones are kept from it.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if _estimated_bytes(facts) * salts > _broadcast_bytes(facts):
+        repeated = repeated.hint("merge")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

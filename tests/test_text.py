@@ -7,6 +7,7 @@ from blackbar.functions.patterns import TOKEN, collect_dictionary
 from blackbar.operators import text as T
 from blackbar.operators import vault as V
 from blackbar.plans import wide_dictionary
+from blackbar.plans.skew import salted_join
 
 
 def texts(spark, rows):
@@ -248,3 +249,25 @@ def test_long_patterns(spark):
     for s in samples:
         expected.append(max((n for n in range(1, len(s) + 1) if s[len(s) - n :] in by_text), default=0))
     assert [r.n for r in pending.orderBy("id").collect()] == expected
+
+
+def test_a_large_dictionary_is_not_broadcast(spark, tmp_path):
+    """Files of a size that Spark would broadcast unpack to many rows, and to more once per salt."""
+    ids = spark.range(200_000)
+    ids.selectExpr("id", "substr(md5(cast(id as string)), 1, 8) as p").write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p")).selectExpr(
+        "id as pattern_id", "p as pattern", "cast(null as string) as replacement"
+    )
+    live = V.live_patterns(V.vault_table(rows))
+    assert live.count() > 0
+    assert "Broadcast" not in live._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_salted_join_does_not_broadcast_what_the_salts_make_large(spark, tmp_path):
+    spark.range(100_000).selectExpr("id", "id * 3 as n").write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    rows = spark.range(50).withColumnRenamed("id", "row").withColumn("id", F.col("row") * 2)
+    joined = salted_join(rows, facts, ["id"], "row")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert sorted(r.n for r in joined.collect()) == [6 * i for i in range(50)]
