@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blackbar.plans.skew import salted_join
+
 # Positions expanded per intermediate row, so a long text is never one huge array.
 _POSITIONS = 4096
 # Dictionaries up to this many bytes are broadcast; the size is read before deciding.
@@ -85,7 +87,7 @@ _TEXT = ["_digest"]
 
 
 def _digest(col: str):
-    return F.sha2(F.encode(F.col(col), "UTF-8"), 256)
+    return F.unhex(F.sha2(F.encode(F.col(col), "UTF-8"), 256))
 
 
 def find_matches(df: DataFrame, keys: list[str], col: str, vault: DataFrame) -> DataFrame:
@@ -134,10 +136,17 @@ def _matches(df: DataFrame, keys: list[str], col: str, vault: DataFrame) -> Data
     )
 
 
+def _with_replacements(matches: DataFrame, vault: DataFrame) -> DataFrame:
+    """Add ``replacement``; a frequent pattern's matches stay where their texts are, or are salted."""
+    size = F.sum(F.coalesce(F.octet_length("replacement"), F.lit(0)) + _ROW_OVERHEAD)
+    replacements = vault.select("pattern_id", "replacement")
+    if (vault.agg(size).first()[0] or 0) <= _BROADCAST_BYTES:
+        return matches.join(F.broadcast(replacements), "pattern_id")
+    return salted_join(matches, replacements.hint("merge"), ["pattern_id"], "_digest", "inner")
+
+
 def redact(df: DataFrame, col: str, vault: DataFrame, out: str) -> DataFrame:
-    matches = _text_matches(df, col, vault).join(
-        vault.select("pattern_id", "replacement"), "pattern_id"
-    )
+    matches = _with_replacements(_text_matches(df, col, vault), vault)
     per_text = matches.groupBy(*_TEXT).agg(
         F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "replacement"))).alias("_m")
     )

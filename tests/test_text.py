@@ -1,4 +1,5 @@
 import random
+import re
 
 import model
 from pyspark.sql import functions as F
@@ -271,3 +272,15 @@ def test_a_salted_join_does_not_broadcast_what_the_salts_make_large(spark, tmp_p
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert sorted(r.n for r in joined.collect()) == [6 * i for i in range(50)]
+
+
+def test_matches_of_a_frequent_pattern_are_not_dealt_by_pattern(spark, monkeypatch):
+    vault = V.vault_from_lists(spark, ["the", "é", "ab"], ["<$1>", "", "\\"])
+    df = texts(spark, ["the é ab", "the the", "", None, "the the", "tha"])
+    expected = ["<$1>  \\", "<$1> <$1>", "", None, "<$1> <$1>", "tha"]
+    for limit in (wide_dictionary._BROADCAST_BYTES, 0):  # a large vault is salted
+        monkeypatch.setattr(wide_dictionary, "_BROADCAST_BYTES", limit)
+        out = wide_dictionary.redact(df, "t", vault, "t")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[pattern_id#\d+\], \[pattern_id#\d+\], Inner", plan)
+        assert column(out, "t") == expected
