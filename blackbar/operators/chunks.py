@@ -10,7 +10,7 @@ spread evenly however long a stream is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blackbar.functions.patterns import (
@@ -36,6 +36,9 @@ Vault = DataFrame | Dictionary
 
 DEFAULT_CAPACITY = 64 * 1024
 EMPTY = "X''"
+# Numbers to a block and bytes to a stretch within which small chunks are joined.
+_PACK_BITS = 10
+_PACK_BYTES = 64 * 1024
 
 
 # -- cutting -----------------------------------------------------------------------
@@ -202,25 +205,47 @@ def _suffix(binary: Column, length: Column) -> Column:
     return binary.substr(F.octet_length(binary) - length + 1, length)
 
 
-def _plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, eof: str | None) -> DataFrame:
-    """One row per (key, seq), as chunks may be delivered twice; of different ones the least.
-
-    Chunks without a key or a number are refused: no stream could take them in order.
-    """
+def _checked_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, eof: str | None) -> DataFrame:
+    """Chunks without a key or a number are refused: no stream could take them in order."""
     missing = F.col(key).isNull() | F.col(seq).isNull()
     refused = F.raise_error(F.lit(f"a chunk has no {key} or no {seq}"))
-    rows = chunks.select(
+    return chunks.select(
         F.when(missing, refused).otherwise(F.col(key)).alias(key),
         F.col(seq).cast("bigint").alias(seq),
         F.coalesce(F.col(chunk), F.expr(EMPTY)).alias(chunk),
         (F.coalesce(F.col(eof), F.lit(False)) if eof else F.lit(False)).alias("_eof"),
     )
+
+
+def _plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str, eof: str | None) -> DataFrame:
+    """One row per (key, seq), as chunks may be delivered twice; of different ones the least."""
+    rows = _checked_chunks(chunks, key, seq, chunk, eof)
     return rows.groupBy(key, seq).agg(F.min(chunk).alias(chunk), F.bool_or("_eof").alias("_eof"))
 
 
-def plain_chunks(chunks: DataFrame, key: str, seq: str, chunk: str) -> DataFrame:
-    """``key, seq, chunk`` as every operator here takes them: each chunk once, none null."""
-    return _plain_chunks(chunks, key, seq, chunk, None).drop("_eof")
+def packed_chunks(chunks: DataFrame, key: str, seq: str, chunk: str) -> DataFrame:
+    """Chunks, each once, joined with their neighbours under the first one's number.
+
+    For work that does not depend on where a stream was cut: small chunks cost far more as
+    rows than as bytes. Neighbours share a block of numbers and a stretch of ``_PACK_BYTES``,
+    so what is joined is bounded by that and one chunk. One shuffle serves all steps.
+    """
+    rows = _checked_chunks(chunks, key, seq, chunk, None).select(
+        key, F.shiftright(seq, _PACK_BITS).alias("_block"), seq, chunk
+    )
+    once = rows.repartition(key, "_block").groupBy(key, "_block", seq).agg(F.min(chunk).alias(chunk))
+    earlier = Window.partitionBy(key, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length(chunk)).over(earlier), F.lit(0).cast("bigint"))
+    stretch = F.call_function("div", start, F.lit(_PACK_BYTES).cast("bigint"))
+    return (
+        once.withColumn("_stretch", stretch)
+        .groupBy(key, "_block", "_stretch")
+        .agg(
+            F.min(seq).alias(seq),
+            F.expr(f"listagg(`{chunk}`) WITHIN GROUP (ORDER BY `{seq}`)").alias(chunk),
+        )
+        .select(key, seq, chunk)
+    )
 
 
 def chunk_status(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blackbar.functions.patterns import TOKEN, bytes_text, text_bytes
-from blackbar.operators.chunks import Vault, plain_chunks, redact_chunked
+from blackbar.operators.chunks import Vault, packed_chunks, redact_chunked
 from blackbar.plans.ordered import ordered_scan, recut, running_sum
 from blackbar.session import cut_lineage
 
@@ -70,15 +70,15 @@ def split_sse_chunks(
 ) -> DataFrame:
     """Event streams in chunks cut anywhere -> ``key, event_no, frame``, as ``split_sse`` of the whole.
 
-    A chunk needs to know the two bytes before it and how many blank lines ended there; both
-    come from one ordered scan over narrow rows. It is then cut behind its own blank lines, and
-    the parts of an event meet by (key, number), so only one event is ever joined in a task and
-    a stream is never gathered. Chunks delivered twice count once; a null key or ``seq`` is an
+    Small neighbours are joined first. A chunk then needs to know the two bytes before it and how
+    many blank lines ended there; both come from one ordered scan over narrow rows. It is then cut
+    behind its own blank lines, and the parts of an event meet by (key, number), so only one event
+    or stretch is ever joined in a task and a stream is never gathered. Chunks delivered twice count once; a null key or ``seq`` is an
     error, null chunks are empty. Bytes that are not UTF-8 become replacement characters.
     Unlike in ``split_sse``, a stream of nothing but line ends has no event, and a first event
     of comments alone leaves no line end before the next.
     """
-    rows = plain_chunks(chunks, key, seq, chunk)
+    rows = cut_lineage(packed_chunks(chunks, key, seq, chunk))
     text = bytes_text(F.col(chunk))
     seen = F.struct(
         F.substring(chunk, 1, 2).alias("head"), F.substring(chunk, -2, 2).alias("tail"), _line_ends(text).alias("ends")

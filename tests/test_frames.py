@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from blackbar.operators import chunks as C
 from blackbar.operators import frames as FR
 from blackbar.operators import vault as V
+from blackbar.plans.ordered import ordered_scan
 
 VALID = [
     "{}",
@@ -170,3 +172,27 @@ def test_chunks_without_events(spark):
     assert FR.split_sse_chunks(cut.limit(0)).collect() == []
     with pytest.raises(Exception, match="no stream_id"):
         FR.split_sse_chunks(spark.createDataFrame([(None, 0, bytearray(b"x"))], cut.schema)).collect()
+
+
+def test_small_chunks_are_joined_before_they_are_placed(spark, monkeypatch):
+    text = "".join(f"data: {i}é\n\n" for i in range(1000)).encode()
+    rows = [(k, i // 7, bytearray(text[i : i + 7])) for k in (1, 2) for i in range(0, len(text), 7)]
+    cut = spark.createDataFrame(rows + rows[:50], "stream_id long, seq long, chunk binary")
+    placed = []
+
+    def scan(df, *args):
+        placed.append(df.count())
+        return ordered_scan(df, *args)
+
+    monkeypatch.setattr(FR, "ordered_scan", scan)
+    got = sorted(map(tuple, FR.split_sse_chunks(cut).collect()))
+    assert got == [(k, i, f"{i}é") for k in (1, 2) for i in range(1000)]
+    assert placed[0] <= 2 * (len(rows) // 2 // 1024 + 1)
+
+
+def test_joined_chunks_are_bounded_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(C, "_PACK_BYTES", 10)
+    rows = [(1, 0, b"abcd"), (1, 2, b"efgh"), (1, 1, b""), (1, 3, b"ijklmnopqrstuvwxyz"), (1, 4, b"ABC"), (1, 5000, b"D"), (1, -1, b"_"), (2, 0, b"")]
+    cut = spark.createDataFrame([(k, i, bytearray(b)) for k, i, b in rows] + [(1, 0, bytearray(b"abce"))], "k long, n long, b binary")
+    got = sorted((r.k, r.n, bytes(r.b)) for r in C.packed_chunks(cut, "k", "n", "b").collect())
+    assert got == [(1, -1, b"_"), (1, 0, b"abcdefghijklmnopqrstuvwxyz"), (1, 4, b"ABC"), (1, 5000, b"D"), (2, 0, b"")]
