@@ -18,6 +18,8 @@ MAX_TOKENS = 2048
 # Tokens that are packed together. Each block leaves less than one sequence of padding.
 BLOCK_TOKENS = 1 << 20
 END_ID = 1
+# Text whose words are looked up together; the arrays of that take about 40 times as much.
+BATCH_BYTES = 600_000
 _CACHE_WORDS = 500_000
 
 SCHEMA = (
@@ -35,7 +37,10 @@ _WORDS = re.compile(
 
 
 class WordIds:
-    """Ids of texts; within a batch of texts, every distinct word is encoded once."""
+    """Ids of texts; every distinct word is encoded once, until there are too many.
+
+    Words are known by the hash of ``Words`` in sorted arrays, so a known one costs no object.
+    """
 
     def __init__(self, path: str):
         import os
@@ -47,27 +52,65 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # hash of each known word; where its ids begin in ``flat``, and their number
+        self.known = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words are encoded many at a time; the last token of each is marked as a word's end."""
+        ids, lengths = [], []
         for at in range(0, len(words), 1000):
-            ids = self._encode(" ".join(words[at : at + 1000]))
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            data = ids.tobytes()
-            yield from (data[i:j] for i, j in zip(cuts, cuts[1:]))
-
-    def _pieces(self, spaced: list[bytes]) -> list[bytes]:
-        if len(self.words) > _CACHE_WORDS:
-            self.words.clear()
-        parts = [_WORDS.findall(x.decode()) for x in spaced]
-        known = self.words
-        words = list({w for p in parts for w in p if w not in known})
-        known.update(zip(words, self._encode_words(words), strict=True))
-        return [known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p]) for p in parts]
+            some = words[at : at + 1000]
+            ids.append(self._encode(b" ".join(some).decode()))
+            lengths.append(np.diff(np.flatnonzero(self.ends[ids[-1]]) + 1, prepend=0))
+            if len(lengths[-1]) != len(some) or int(lengths[-1].sum()) != len(ids[-1]):
+                raise ValueError("the tokenizer does not end every word")
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, hashes)
+        found = at < len(self.known)
+        found[found] = self.known[at[found]] == hashes[found]
+        return np.flatnonzero(~found)
+
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Sorted hashes that are not known yet, and the ids of their words one after another."""
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _find(self, words: Words, split: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in ``flat``, and their number."""
+        place, number = words.distinct()
+        hashes = words.hash[place]
+        new = self._unknown(hashes)
+        if len(new) and not split:
+            self._learn(hashes[new], *self._encode_words(words.slices(place[new])))
+        elif len(new):
+            parts = [
+                [x] if x.isalpha() else [w.encode() for w in _WORDS.findall(x.decode())]
+                for x in words.slices(place[new])
+            ]
+            begin, length = self._find(Words([b" ".join([w for p in parts for w in p])]), False)
+            # a word of one part is known by now; others are joined from their parts
+            n = np.array([len(p) for p in parts], np.int64)
+            joined = n != 1
+            several = np.repeat(joined, n)
+            begin, length, n = begin[several], length[several], n[joined]
+            upto = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(n)])]
+            self._learn(hashes[new[joined]], self.flat[ragged(begin, length)], np.diff(upto))
+        at = np.searchsorted(self.known, hashes)[number]
+        return self.begin[at], self.length[at]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -88,13 +131,11 @@ class WordIds:
             places.append(i)
         if plain:
             words = Words(plain)
-            place, number = words.distinct()
-            pieces = self._pieces(words.slices(place))
-            length = np.array([len(x) // 4 for x in pieces], np.int64)
-            flat = np.frombuffer(b"".join(pieces), "<u4")
-            begin = np.cumsum(length) - length
-            ids = flat[ragged(begin[number], length[number])]
-            upto = np.concatenate([[0], np.cumsum(length[number])])[words.first]
+            if len(self.known) > _CACHE_WORDS:
+                self._forget()
+            begin, length = self._find(words, True)
+            ids = self.flat[ragged(begin, length)]
+            upto = np.concatenate([[0], np.cumsum(length)])[words.first]
             for i, a, b in zip(places, upto.tolist(), upto[1:].tolist()):
                 out[i] = ids[a:b]
         return out
@@ -185,7 +226,7 @@ def _packer(path: str, size: int, block: int, linear: float, quadratic: float):
             held = 0
             return out
 
-        for keys, texts in by_bytes(rows_of(batches)):
+        for keys, texts in by_bytes(rows_of(batches), P.BATCH_BYTES):
             for doc, t in zip(keys, words.ids(texts)):
                 ids.append(doc)
                 tokens.append(np.append(t, end).astype("<u4").tobytes())

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -97,3 +98,30 @@ def test_empty_and_null(docs):
     got = M.pack_documents(docs([(None, None), (7, ""), (7, "")])).collect()
     assert sorted(str(r.doc_id) for r in got) == ["7", "7", "None"]
     assert all(r.length == r.doc_tokens == 1 for r in got)
+
+
+def test_known_words_are_found_again_and_forgotten_in_time(words, monkeypatch):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [t or "" for t in ODD] + [t or "" for t in words(60)] + ["a,b 'sab ''s x.y, ' \" ''", "word, word", "word"]
+    for limit in (500_000, 5):
+        monkeypatch.setattr(M, "_CACHE_WORDS", limit)
+        ids = M.WordIds(PATH)
+        for _ in range(2):
+            for at in range(0, len(texts), 7):
+                for got, text in zip(ids.ids(texts[at : at + 7]), texts[at : at + 7]):
+                    assert got.tolist() == whole(tokenizer, text).tolist(), text
+        assert np.all(np.diff(ids.known.astype(object)) > 0)
+
+
+def test_a_known_word_takes_little_memory():
+    ids = M.WordIds(PATH)
+    ids.ids(["warm up"])
+    text = " ".join(f"{a}{b}{c}x" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst")
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        ids.ids([text])
+        held = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert held < 8000 * 80
