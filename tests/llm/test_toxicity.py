@@ -153,3 +153,21 @@ def test_scores_equal_those_of_all_windows():
             assert len(windows.index) == max(1, len(t.split()) - 31)
             want.append(1 / (1 + np.exp(-net.logits(windows).max())))
         assert M.score_texts(net, some) == pytest.approx(want, abs=1e-5)
+
+
+def test_only_full_windows_of_one_text_are_scored(monkeypatch):
+    net, lanes = M.Network(5), []
+    texts = [" ".join(f"w{(k * k) % 97}" for k in range(n)) for n in (40, 31, 700, 33, 1200, 0, 32, 64, 40, 45)]
+    full = sum(max(0, len(t.split()) - 31) for t in texts)
+    exp = np.exp
+
+    def counted(x, out=None, **rest):
+        if np.ndim(x) == 2 and len(x) == M.WINDOW:  # the attention weights, a column for each window
+            lanes.append(x.shape[1])
+        return exp(x, out, **rest)
+
+    monkeypatch.setattr(M.np, "exp", counted)
+    M.score_texts(net, texts * 20)
+    short = sum(len(t.split()) < 32 for t in texts) * 20
+    # one window for each start in a text, a short text as one, and few to even out runs of unlike length
+    assert full * 20 + short <= sum(lanes) < 1.1 * (full * 20 + short)
