@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard."""
+"""Near-duplicate vectors by graphs of vectors and the hash buckets that hold them, one per shard."""
 
 from __future__ import annotations
 
@@ -7,222 +7,220 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from blackbar.llm.common import connected, forest, store
+from blackbar.llm.words import ragged
 
 COSINE = 0.95
 SHARDS = 8
 SHARD_VECTORS = 100_000
 QUERY_BLOCK = 1_000_000
-NEIGHBOURS = 16
 BEAM = 32
 # A task's sample of queries is compared with all vectors of the shard; beams widen until this holds.
 AUDIT_QUERIES, AUDIT_RECALL = 256, 0.99
-
-
-def _top(ids: np.ndarray, sims: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    by = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-    return np.take_along_axis(ids, by, 1), np.take_along_axis(sims, by, 1)
-
-
-def diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-    """Of each row's candidates, in descending similarity, those nearer to the row's vector than
-    to any candidate kept before; free places are filled with the nearest of the others."""
-    n, c = ids.shape
-    if c <= most:
-        return np.where(np.isfinite(sims), ids, -1)
-    vectors = x[np.maximum(ids, 0)]
-    among = np.einsum("ncd,nkd->nck", vectors, vectors)
-    kept = np.zeros((n, c), bool)
-    for r in range(c):
-        near = np.where(kept, among[:, r, :], -np.inf).max(1)
-        kept[:, r] = (sims[:, r] > near) & np.isfinite(sims[:, r]) & (kept.sum(1) < most)
-    rank = np.where(kept, 0, c) + np.arange(c)[None, :]
-    rank = np.where(np.isfinite(sims), rank, 4 * c)
-    by = np.argsort(rank, axis=1)[:, :most]
-    return np.where(np.take_along_axis(np.isfinite(sims), by, 1), np.take_along_axis(ids, by, 1), -1)
+# Buckets have this many bits at most. Beams over so many tables are the whole shard.
+BITS, TABLES = 18, 512
+# Single precision is off by less than this.
+OFF = 1e-5
+# Queries searched at once; a query with more candidates is compared with those of all its like in one product,
+# of so many cosines at once; pairs compared one by one at once.
+_QUERIES, _CROWD, _PRODUCT, _PAIRS = 2048, 1000, 4_000_000, 100_000
 
 
 class Graph:
-    """Layers of links over unit vectors; a layer's vectors are a random share of the one below."""
+    """Unit vectors, each linked to the buckets that hold it: one in every table, by the sides of random planes it is on.
+
+    Two vectors at an angle are on one side of a plane with probability 1 - angle / pi, whatever the vectors are like, so
+    ``width`` tables of b bits miss a pair with probability (1 - (1 - angle / pi) ** b) ** width.
+    """
 
-    def __init__(self, x: np.ndarray, m: int = NEIGHBOURS, seed: int = 5):
+    def __init__(self, x: np.ndarray, seed: int = 5):
         self.x = np.ascontiguousarray(x, np.float32)
-        n = len(x)
-        level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(m)).astype(int)
-        self.layers: list[np.ndarray] = []
-        self.entry = int(np.argmax(level)) if n else 0
-        for depth in range(int(level.max(initial=0)), -1, -1):
-            members = np.flatnonzero(level >= depth)
-            members = members[np.argsort(-level[members], kind="stable")]
-            self.layers.append(self._layer(members, m if depth else 2 * m, m))
-
-    def _layer(self, members: np.ndarray, most: int, m: int) -> np.ndarray:
-        links = np.full((len(self.x), most), -1, np.int32)
-        done = 0
-        while done < len(members):
-            batch = members[done : done + max(64, min(done, 512))]
-            q = self.x[batch]
-            inner = q @ q.T
-            np.fill_diagonal(inner, -np.inf)
-            ids, sims = np.broadcast_to(batch, inner.shape), inner
-            if done:
-                found, near = self.beam(q, self.descend(q), 3 * m, links)
-                ids, sims = np.concatenate([found, ids], 1), np.concatenate([near, sims], 1)
-            ids, sims = _top(ids, sims, 3 * m)
-            out = diverse(self.x, ids, sims, m)
-            links[batch, : out.shape[1]] = out
-            # links back, from whoever was chosen
-            source = np.repeat(batch, out.shape[1])
-            target = out.ravel()
-            source, target = source[target >= 0], target[target >= 0]
-            by = np.argsort(target, kind="stable")
-            source, target = source[by], target[by]
-            nodes, first, count = np.unique(target, return_index=True, return_counts=True)
-            width = min(int(count.max(initial=0)), most)
-            new = np.full((len(nodes), width), -1, np.int64)
-            place = np.arange(len(target)) - np.repeat(first, count)
-            fits = place < width
-            new[np.repeat(np.arange(len(nodes)), count)[fits], place[fits]] = source[fits]
-            old = links[nodes]
-            new = np.where((new[:, :, None] == old[:, None, :]).any(2), -1, new)
-            both = np.concatenate([old, new], 1)
-            sims = np.einsum("ncd,nd->nc", self.x[np.maximum(both, 0)], self.x[nodes])
-            both, sims = _top(both, np.where(both >= 0, sims, -np.inf), both.shape[1])
-            chosen = diverse(self.x, both, sims, most)
-            links[nodes] = -1
-            links[nodes, : chosen.shape[1]] = chosen
-            done += len(batch)
-        return links
-
-    def descend(self, q: np.ndarray) -> np.ndarray:
-        """The vector that greedy steps through the finished layers reach from the entry."""
-        at = np.full(len(q), self.entry)
-        best = np.einsum("nd,nd->n", self.x[at], q)
-        for links in self.layers:
-            if links is self.layers[-1] and links.shape[1] > NEIGHBOURS:
-                break  # the lowest layer is for beams
-            moving = np.arange(len(q))
-            while len(moving):
-                near = links[at[moving]]
-                sims = np.einsum("ncd,nd->nc", self.x[np.maximum(near, 0)], q[moving])
-                sims = np.where(near >= 0, sims, -np.inf)
-                to = sims.argmax(1)
-                value = np.take_along_axis(sims, to[:, None], 1)[:, 0]
-                up = value > best[moving]
-                moving, to, near, value = moving[up], to[up], near[up], value[up]
-                at[moving], best[moving] = np.take_along_axis(near, to[:, None], 1)[:, 0], value
-        return at
-
-    def beam(self, q: np.ndarray, start: np.ndarray, width: int, links: np.ndarray, wave: int = 4) -> tuple:
-        """The ``width`` nearest vectors that a best-first walk finds; (-1, -inf) where there are less."""
-        n = len(q)
-        ids = np.full((n, width), -1, np.int64)
-        sims = np.full((n, width), -np.inf, np.float32)
-        spent = np.zeros((n, width), bool)
-        ids[:, 0], sims[:, 0] = start, np.einsum("nd,nd->n", self.x[start], q)
-        seen = np.zeros((n, len(self.x)), bool)
-        seen[np.arange(n), start] = True
-        wave = min(wave, width)
-        active = np.arange(n)
-        while len(active):
-            todo = np.where(spent[active], -np.inf, sims[active])
-            pick = np.argpartition(-todo, wave - 1, axis=1)[:, :wave] if width > wave else np.tile(np.arange(width), (len(active), 1))
-            value = np.take_along_axis(todo, pick, 1)
-            more = np.isfinite(value).any(1)
-            active, pick, value = active[more], pick[more], value[more]
-            if not len(active):
-                break
-            spent[active[:, None], pick] = True
-            cur = np.where(np.isfinite(value), ids[active[:, None], pick], -1)
-            near = np.where(cur[:, :, None] >= 0, links[np.maximum(cur, 0)], -1).reshape(len(active), -1)
-            near = np.where(near >= 0, near, start[active][:, None])
-            near.sort(axis=1)
-            fresh = ~seen[active[:, None], near]
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-            seen[active[:, None], near] = True
-            row, col = np.nonzero(fresh)
-            found = np.full(near.shape, -np.inf, np.float32)
-            found[row, col] = np.einsum("nd,nd->n", self.x[near[row, col]], q[active[row]])
-            all_sims = np.concatenate([sims[active], found], 1)
-            keep = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            sims[active] = np.take_along_axis(all_sims, keep, 1)
-            ids[active] = np.take_along_axis(np.concatenate([ids[active], near], 1), keep, 1)
-            spent[active] = np.take_along_axis(np.concatenate([spent[active], np.zeros(near.shape, bool)], 1), keep, 1)
-        return np.where(np.isfinite(sims), ids, -1), sims
+        self.seed = seed
+        self.bits = min(BITS, max(1, len(x).bit_length()))
+        self.planes = np.zeros((x.shape[1], 0), np.float32)
+        # of each table, the vectors by bucket, and where the buckets begin
+        self.order = np.zeros((0, len(x)), np.int32)
+        self.start = np.zeros((0, (1 << self.bits) + 1), np.int32)
+
+    def tables(self, cosine: float, recall: float) -> int:
+        """How many tables miss a pair at ``cosine`` with probability 1 - ``recall`` at most."""
+        angle = np.arccos(np.clip(cosine, -1.0, 1.0))
+        both = (1 - angle / np.pi) ** self.bits
+        return TABLES if both <= 0 else 1 if both >= 1 else min(TABLES, int(np.ceil(np.log(1 - recall) / np.log1p(-both))))
+
+    def _keys(self, q: np.ndarray, width: int, first: int = 0) -> np.ndarray:
+        side = q @ self.planes[:, first * self.bits : width * self.bits] > 0
+        powers = (1 << np.arange(self.bits)).astype(np.float32)
+        return (side.reshape(len(q), width - first, self.bits).astype(np.float32) @ powers).astype(np.int64)
+
+    def _widen(self, width: int) -> None:
+        old = len(self.order)
+        if width <= old:
+            return
+        dims = self.x.shape[1]
+        new = [np.random.default_rng([self.seed, t]).standard_normal((dims, self.bits)).astype(np.float32) for t in range(old, width)]
+        self.planes = np.concatenate([self.planes, *new], 1)
+        key = np.concatenate([
+            self._keys(self.x[at : at + _QUERIES], width, old).astype(np.int32) for at in range(0, len(self.x), _QUERIES)
+        ] or [np.zeros((0, width - old), np.int32)])
+        order = np.argsort(key, axis=0, kind="stable").T.astype(np.int32)
+        start = np.zeros((width - old, (1 << self.bits) + 1), np.int32)
+        for t in range(width - old):
+            np.cumsum(np.bincount(key[:, t], minlength=1 << self.bits), out=start[t, 1:])
+        self.order, self.start = np.concatenate([self.order, order]), np.concatenate([self.start, start])
+
+    def pairs(self, q: np.ndarray, cosine: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, vector, cosine) of what the queries' buckets in ``width`` tables hold at ``cosine`` or nearer, each once."""
+        n = len(self.x)
+        if not n or not len(q):
+            return
+        if width >= TABLES:
+            yield from self._product(q, np.arange(len(q)), None, cosine)
+            return
+        self._widen(width)
+        # queries that are alike together
+        like = np.argsort(self._keys(q, 1)[:, 0], kind="stable")
+        table = np.arange(width)
+        for at in range(0, len(q), _QUERIES):
+            rows = like[at : at + _QUERIES]
+            key = self._keys(q[rows], width)
+            low = self.start[table, key].astype(np.int64)
+            size = self.start[table, key + 1] - low
+            low += table * n
+            crowd = size.sum(1) > _CROWD
+            if crowd.any():
+                some = np.zeros(n, bool)
+                for t in range(width):
+                    begin, first = np.unique(low[crowd, t], return_index=True)
+                    some[self.order.ravel()[ragged(begin, size[crowd, t][first])]] = True
+                yield from self._product(q, rows[crowd], np.flatnonzero(some) if some.mean() < 0.5 else None, cosine)
+            rows, low, size = rows[~crowd], low[~crowd], size[~crowd]
+            which = np.repeat(np.arange(len(rows)), size.sum(1))
+            found = self.order.ravel()[ragged(low.ravel(), size.ravel())]
+            codes, sims = [], []
+            for a in range(0, len(found), _PAIRS):
+                w, v = which[a : a + _PAIRS], found[a : a + _PAIRS]
+                sim = np.einsum("nd,nd->n", q[rows[w]], self.x[v])
+                near = sim >= cosine
+                codes.append(w[near] * n + v[near])
+                sims.append(sim[near])
+            if codes:
+                code, first = np.unique(np.concatenate(codes), return_index=True)
+                yield rows[code // n], code % n, np.concatenate(sims)[first]
+
+    def _product(self, q: np.ndarray, rows: np.ndarray, some: np.ndarray | None, cosine: float) -> Iterator[tuple]:
+        x = self.x if some is None else self.x[some]
+        step = max(1, _PRODUCT // max(1, len(x)))
+        for at in range(0, len(rows), step):
+            sims = q[rows[at : at + step]] @ x.T
+            a, b = np.nonzero(sims >= cosine)
+            yield rows[at + a], b if some is None else some[b], sims[a, b]
 
     def within(self, q: np.ndarray, cosine: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) found at ``cosine`` or nearer. A beam that is full of such vectors is
-        doubled until it is not, or holds the whole shard."""
-        out_q, out_v = [], []
-        step = max(1, min(512, 16_000_000 // max(1, len(self.x))))
-        for at in range(0, len(q), step):
-            todo = np.arange(at, min(at + step, len(q)))
-            start = self.descend(q[todo])
-            w = min(width, len(self.x))
-            while len(todo):
-                ids, sims = self.beam(q[todo], start, w, self.layers[-1])
-                full = (sims.min(1) >= cosine) & (w < len(self.x))
-                r, c = np.nonzero((sims >= cosine) & ~full[:, None])
-                out_q.append(todo[r])
-                out_v.append(ids[r, c])
-                todo, start = todo[full], start[full]
-                w = min(2 * w, len(self.x))
-        return np.concatenate(out_q) if out_q else np.zeros(0, np.int64), np.concatenate(out_v) if out_v else np.zeros(0, np.int64)
+        """(query, vector) found at ``cosine`` or nearer."""
+        found = [(a, b) for a, b, _ in self.pairs(np.asarray(q, np.float32), cosine, width)]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(a for a, _ in found)]), np.concatenate([none, *(b for _, b in found)])
 
 
 def audited_width(graph: Graph, q: np.ndarray, cosine: float, width: int, recall: float) -> int:
     """The least doubled width whose links of these queries are ``recall`` of all their links."""
     exact = (q.astype(np.float32) @ graph.x.T) >= cosine
     total = int(exact.sum())
-    while width < len(graph.x):
-        a, b = graph.within(q, cosine, width)
+    while width < TABLES:
+        a, b = graph.within(q, cosine - OFF, width)
         if exact[a, b].sum() >= recall * total:
             return width
         width *= 2
     return width
 
 
-def _search(cosine: float, width: int, recall: float):
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors scaled to length 1; by the largest component first, so that squares neither overflow nor vanish."""
+    s = vectors.astype(np.float64)
+    s /= np.abs(s).max(1, keepdims=True, initial=0.0)
+    norm = np.zeros(len(s))
+    for d in range(s.shape[1]):
+        norm += s[:, d] * s[:, d]
+    s /= np.sqrt(norm)[:, None]
+    return s
+
+
+class _Cell:
+    """The vectors of a shard, and links found between them and queries."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, copies: np.ndarray, cosine: float, width: int, recall: float):
+        self.ids, self.x, self.copies, self.cosine, self.recall = ids, x, copies, cosine, recall
+        self.graph = Graph(x)
+        self.width = max(width, self.graph.tables(cosine, 1 - (1 - recall) / 10))
+        self.links = np.zeros(len(ids), np.int64)
+
+    def own(self) -> Iterator:
+        """Links and forests between the shard's own vectors."""
+        for at in range(0, len(self.ids), 4 * _QUERIES):
+            rows = slice(at, at + 4 * _QUERIES)
+            links, edges = self._meet(self.ids[rows], self.x[rows], self.copies[rows], at)
+            self.links[rows] += links
+            yield from edges
+
+    def query(self, ids: np.ndarray, x: np.ndarray, copies: np.ndarray) -> Iterator:
+        links, edges = self._meet(ids, x, copies, None)
+        yield _rows(0, ids, links)
+        yield from edges
+
+    def counts(self):
+        return _rows(0, self.ids, self.links)
+
+    def _meet(self, ids: np.ndarray, x: np.ndarray, copies: np.ndarray, own: int | None) -> tuple[np.ndarray, list]:
+        """The queries' numbers of links, and forests; the shard's own queries, from ``own`` on, meet each other vector once."""
+        links, edges = np.zeros(len(ids), np.int64), []
+        if not len(self.ids) or not len(ids):
+            return links, edges
+        q = x.astype(np.float32)
+        some = np.linspace(0, len(q) - 1, min(len(q), AUDIT_QUERIES)).astype(int)
+        self.width = audited_width(self.graph, q[some], self.cosine, self.width, self.recall)
+        for a, b, sim in self.graph.pairs(q, self.cosine - OFF, self.width):
+            keep = np.ones(len(a), bool) if own is None else a + own < b
+            close = np.flatnonzero((sim < self.cosine + OFF) & keep)
+            for at in range(0, len(close), _PAIRS):
+                c = close[at : at + _PAIRS]
+                keep[c] = np.einsum("nd,nd->n", x[a[c]], self.x[b[c]]) >= self.cosine
+            a, b = a[keep], b[keep]
+            if not len(a):
+                continue
+            links += np.bincount(a, self.copies[b], minlength=len(ids)).astype(np.int64)
+            self.links += np.bincount(b, copies[a], minlength=len(self.ids)).astype(np.int64)
+            node, root = forest(ids[a], self.ids[b])
+            edges.append(_rows(1, node, root))
+        return links, edges
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray):
+    import pyarrow as pa
+
+    if not kind:
+        a, b = a[b > 0], b[b > 0]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+
+def _search(cosine: float, width: int, recall: float, blocks: int):
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         from blackbar.llm import embedding_dedup as E
-        from blackbar.llm.common import forest
-
-        key, index, graph, beam = None, [], None, width
-        names = ["kind", "a", "b"]
-
-        def unit(batch) -> np.ndarray:
-            flat = batch.column("unit")
-            return flat.flatten().to_numpy().reshape(batch.num_rows, -1)
-
-        def answer(batch):
-            nonlocal graph, beam
-            ids, x = batch.column("id").to_numpy(), unit(batch)
-            if graph is None:
-                shard = np.concatenate([i[1] for i in index]) if index else np.zeros((0, x.shape[1]))
-                graph = (E.Graph(shard), shard, np.concatenate([i[0] for i in index] or [ids[:0]]), np.concatenate([i[2] for i in index] or [ids[:0]]))
-                beam = width
-            g, shard, names_, copies = graph
-            if not len(shard):
-                return None
-            q = x.astype(np.float32)
-            some = np.linspace(0, len(q) - 1, min(len(q), E.AUDIT_QUERIES)).astype(int)
-            beam = E.audited_width(g, q[some], cosine, beam, recall)
-            a, b = g.within(q, cosine - 1e-5, beam)
-            exact = np.einsum("nd,nd->n", x[a], shard[b]) >= cosine
-            a, b = a[exact], b[exact]
-            other = ids[a] != names_[b]
-            a, b = a[other], b[other]
-            links = np.bincount(a, copies[b], minlength=len(ids)).astype(np.int64)
-            has = links > 0
-            node, root = forest(ids[a], names_[b])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(has.sum(), np.int32), np.ones(len(node), np.int32)])),
-                 pa.array(np.concatenate([ids[has], node])), pa.array(np.concatenate([links[has], root]))],
-                names=names,
-            )
+
+        key, index, cell = None, [], None
+
+        def opened() -> Iterator:
+            """Make the shard's graph, once all its vectors are there."""
+            nonlocal cell
+            if cell is None and index:
+                ids, x, copies = (np.concatenate(part) for part in zip(*index))
+                cell = E._Cell(ids, x, copies, cosine, width, recall)
+                index.clear()
+                # of the cells with one shard, one has these links
+                if key % blocks == 0:
+                    yield from cell.own()
 
         for batch in batches:
             cells, roles = batch.column("cell").to_numpy(), batch.column("role").to_numpy()
@@ -230,11 +228,23 @@ def _search(cosine: float, width: int, recall: float):
             for at, to in zip(edge, [*edge[1:], len(cells)]):
                 part = batch.slice(int(at), int(to - at))
                 if cells[at] != key:
-                    key, index, graph = cells[at], [], None
+                    if key is not None:
+                        yield from opened()
+                        if cell is not None:
+                            yield cell.counts()
+                    key, index, cell = int(cells[at]), [], None
+                x = E.units(part.column("vector").flatten().to_numpy().reshape(part.num_rows, -1))
+                own = part.column("id").to_numpy(), x, part.column("copies").to_numpy()
                 if roles[at] == 0:
-                    index.append((part.column("id").to_numpy(), unit(part), part.column("copies").to_numpy()))
-                elif (out := answer(part)) is not None:
-                    yield out
+                    index.append(own)
+                else:
+                    yield from opened()
+                    if cell is not None:
+                        yield from cell.query(*own)
+        if key is not None:
+            yield from opened()
+            if cell is not None:
+                yield cell.counts()
 
     return run
 
@@ -253,10 +263,12 @@ def embedding_groups(
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Equal vectors are one entry with a count. Entries are dealt over ``shards`` (more if a
-    shard would exceed ``shard_vectors``); each shard has one graph, and every vector queries
-    every shard, in tasks of one shard and ``query_block`` queries. In each batch of a task,
-    up to 256 queries are compared with the whole shard, and beams are doubled until
-    ``recall`` of their links are found. Candidates are verified by cosine in double
+    shard would exceed ``shard_vectors``); each shard has one graph, in which its own vectors
+    and those of half of the other shards are queries, so that any two shards meet once, in
+    tasks of one shard and ``query_block`` queries. A query's beam is the buckets that hold it
+    in ``beam`` tables, or as many as miss a pair at ``cosine`` with a tenth of 1 - ``recall``.
+    In each batch of a task, up to 256 queries are compared with the whole shard, and beams are
+    doubled until ``recall`` of their links are found. Candidates are verified by cosine in double
     precision. Tasks return link counts and a spanning forest, not pairs.
 
     Vectors that are null, zero, hold null or non-finite components, have no id, or another
@@ -265,9 +277,11 @@ def embedding_groups(
     together. An empty table gives no rows. Only the two named columns are read.
     """
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # single components stay single, as they are moved often
+    of = vectors.select(vector_col).schema[0].dataType
+    kind = "array<float>" if isinstance(of, ArrayType) and isinstance(of.elementType, FloatType) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    # scaled by the largest component first, so that squares neither overflow nor vanish
     top = F.array_max(F.transform(v, F.abs))
     usable = F.coalesce(F.col("id").isNotNull() & (F.size(v) > 0) & finite & (top > 0), F.lit(False))
     valid = rows.where(usable)
@@ -280,21 +294,21 @@ def embedding_groups(
     total = entries.count()
     shards = max(1, shards, -(-total // shard_vectors))
     blocks = max(1, -(-total // query_block))
-    scaled = F.transform(v, lambda c: c / F.array_max(F.transform(v, F.abs)))
-    units = entries.select("entry", "copies", scaled.alias("s"))
-    units = units.withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda acc, c: acc + c * c)))
-    units = store(units.select(
-        F.col("entry").alias("id"), "copies", F.transform("s", lambda c: c / F.col("norm")).alias("unit")
-    ), "units")
+    parts = entries.select(F.col("entry").alias("id"), "copies", "vector")
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
     own = F.sequence(F.lit(0), F.lit(blocks - 1))
-    every = F.sequence(F.lit(0), F.lit(shards - 1))
-    index = units.select(F.explode(F.transform(own, lambda b: shard * blocks + b)).alias("cell"), F.lit(0).alias("role"), "id", "copies", "unit")
-    query = units.select(F.explode(F.transform(every, lambda s: s * blocks + block)).alias("cell"), F.lit(1).alias("role"), "id", "copies", "unit")
+    # the shards behind a vector's own; of two that are opposite, one queries the other
+    half = (shards - 1) // 2
+    ahead = F.when(shard < shards // 2, half + 1).otherwise(half) if shards % 2 == 0 else F.lit(half)
+    others = F.filter(F.sequence(F.lit(0), F.lit(shards // 2)), lambda d: (d > 0) & (d <= ahead))
+    index = parts.select(F.explode(F.transform(own, lambda b: shard * blocks + b)).alias("cell"), F.lit(0).alias("role"), "id", "copies", "vector")
+    query = parts.select(
+        F.explode(F.transform(others, lambda d: ((shard + d) % shards) * blocks + block)).alias("cell"), F.lit(1).alias("role"), "id", "copies", "vector"
+    )
     found = store(
-        index.union(query).repartition(shards * blocks, "cell").sortWithinPartitions("cell", "role")
-        .mapInArrow(_search(cosine, beam, recall), "kind int, a bigint, b bigint"),
+        index.union(query).repartitionById(shards * blocks, F.col("cell")).sortWithinPartitions("cell", "role")
+        .mapInArrow(_search(cosine, beam, recall, blocks), "kind int, a bigint, b bigint"),
         "vector-links",
     )
     links = found.where("kind = 0").groupBy(F.col("a").alias("entry")).agg(F.sum("b").alias("links"))

@@ -78,3 +78,46 @@ def test_unusable_vectors_link_with_nothing(llm):
 
 def test_empty_table(llm):
     assert M.embedding_groups(frame(llm, [])).collect() == []
+
+
+def test_any_two_shards_meet_once(llm):
+    r = np.random.default_rng(6)
+    rows = vectors(seed=7, n=150)
+    rows = [(i, [c + 1e-4 * r.standard_normal() for c in v]) for i, v in rows] + [(200 + i, v) for i, v in rows[:5]]
+    want = model(rows, 0.9)
+    for options in ({"shards": 1}, {"shards": 2, "query_block": 40}, {"shards": 5}, {"shards": 6, "query_block": 60}):
+        got = M.embedding_groups(frame(llm, rows), cosine=0.9, recall=0.9999999, **options).collect()
+        assert {x.vec_id: (x.n_links, x.component_id) for x in got} == want
+
+
+def test_few_vectors_are_compared_and_near_ones_found():
+    r = np.random.default_rng(8)
+    x = r.standard_normal((20000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.standard_normal((1000, 32))
+    away -= (away * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x[-1000:] = 0.952 * x[:1000] + math.sqrt(1 - 0.952**2) * away
+    x = x.astype(np.float32)
+    g = M.Graph(x)
+    width = g.tables(0.95, 0.99)
+    looked = sum(len(a) for a, _, _ in g.pairs(x[:2000], -2.0, width))
+    assert looked < 0.05 * 2000 * len(x)
+    a, b = g.within(x[:1000], 0.95, width)
+    assert len(a) == len(set(zip(a.tolist(), b.tolist())))
+    assert (b == a + 19000).sum() >= 980
+
+
+def test_crowds_are_found_whole():
+    r = np.random.default_rng(9)
+    x = r.standard_normal((6000, 16)).astype(np.float32)
+    x[:3000] = x[0] + 0.02 * r.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = M.Graph(x)
+    exact = x @ x.T >= 0.95
+    for width in (g.tables(0.95, 0.999), M.TABLES):
+        a, b = g.within(x, 0.95 - M.OFF, width)
+        assert len(a) == len(set(zip(a.tolist(), b.tolist())))
+        found = np.zeros(exact.shape, bool)
+        found[a, b] = True
+        assert (found & exact).sum() >= 0.998 * exact.sum() and (exact[:3000] <= found[:3000])[:, :3000].mean() > 0.9999
