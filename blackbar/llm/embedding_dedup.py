@@ -315,11 +315,14 @@ def embedding_groups(
     root = connected(found.where("kind = 1").select("a", "b"))
     known = entries.join(links, "entry", "left").join(root, F.col("entry") == F.col("node"), "left").select(
         F.col("vector").alias("of_vector"),
+        F.xxhash64("vector").alias("of_hash"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         F.coalesce("component", "entry").alias("component"),
     )
     judged = rows.withColumn("usable", usable & (F.size(v) == dims))
-    joined = judged.join(known, F.col("usable") & (F.col("vector") == F.col("of_vector")), "left")
+    # by hash first, as sorting compares vectors slowly
+    same = (F.xxhash64("vector") == F.col("of_hash")) & (F.col("vector") == F.col("of_vector"))
+    joined = judged.join(known, F.col("usable") & same, "left")
     component = F.coalesce("component", "id")
     return joined.select(
         F.col("id").alias("vec_id"),
